@@ -53,35 +53,42 @@ def _field(v: Column, name: str, dtype: str = "variant") -> Column:
 
 
 def _type_name(field: Column) -> Column:
-    s = F.schema_of_variant(field)
-    starts = lambda p: F.startswith(s, F.lit(p))
-    return (
-        F.when(starts("STRING"), "str").when(starts("BOOLEAN"), "bool")
-        .when(starts("BIGINT"), "int").when(starts("ARRAY"), "list")
-        .when(starts("OBJECT"), "dict").when(starts("VOID"), "NoneType")
-        .when(starts("DECIMAL(") & F.endswith(s, F.lit(",0)")), "int").otherwise("float")
-    )
+    """The name of a JSON type as the error texts say it; NULL for a missing field."""
+
+    def name(s: Column) -> Column:
+        starts = lambda p: F.startswith(s, F.lit(p))
+        return (
+            F.when(starts("STRING"), "str").when(starts("ARRAY"), "list")
+            .when(starts("BIGINT"), "int").when(starts("BOOLEAN"), "bool")
+            .when(starts("OBJECT"), "dict").when(starts("VOID"), "NoneType")
+            .when(starts("DECIMAL(") & F.endswith(s, F.lit(",0)")), "int")
+            .when(s.isNotNull(), "float")
+        )
+
+    return let(F.schema_of_variant(field), name)
 
 
 def match_score(v: Column) -> Column:
     """Whole number as int() reads it: 8, 8.7 -> 8, "8" -> 8, true -> 1; "8.5" -> NULL."""
-    f = _field(v, "match_score")
-    kind, text = _type_name(f), _field(v, "match_score", "string")
-    from_text = F.when(strip(text).rlike(r"^[+-]?\d+$"), strip(text).try_cast("bigint"))
-    return (
-        F.when(kind == "str", from_text)
-        .when(kind == "bool", _field(v, "match_score", "boolean").cast("bigint"))
-        .when(kind.isin("int", "float"), _field(v, "match_score", "double").try_cast("bigint"))
-    )
+
+    def read(field: Column) -> Column:
+        as_type = lambda dtype: F.try_variant_get(field, "$", dtype)
+        from_text = let(strip(as_type("string")), lambda t: F.when(
+            t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")))
+        return let(_type_name(field), lambda kind: (
+            F.when(kind == "str", from_text)
+            .when(kind == "bool", as_type("boolean").cast("bigint"))
+            .when(kind.isin("int", "float"), as_type("double").try_cast("bigint"))
+        ))
+
+    return let(_field(v, "match_score"), read)
 
 
 def recommendation(v: Column) -> Column:
     return F.lower(strip(_field(v, "recommendation", "string")))
 
 
-def _shown(v: Column, name: str) -> Column:
-    text = _field(v, name, "string")
-    kind = _type_name(_field(v, name))
+def _shown(text: Column, kind: Column) -> Column:
     return (
         F.when(kind == "str", F.concat(F.lit("'"), text, F.lit("'")))
         .when(kind == "NoneType", "None")
@@ -90,45 +97,48 @@ def _shown(v: Column, name: str) -> Column:
     )
 
 
-def analysis_errors(v: Column) -> Column:
-    """array<string> of problems, in field order; empty for a valid answer. Give it a
-    parsed column (see ``validated``), not an expression: it is read once per field."""
-    checks = []
-    for name, want in REQUIRED.items():
-        field = _field(v, name)
-        kind = _type_name(field)
-        if want == "str":
-            bad = (kind != "str") | (strip(_field(v, name, "string")) == "")
-            said = F.concat(F.lit(f"'{name}' must be a non-empty string (got "), kind, F.lit(")"))
-        elif want == "list":
-            bad = kind != "list"
+def _field_error(v: Column, name: str, want: str, score: Column) -> Column:
+    """What is wrong with one field, or NULL."""
+
+    def judge(kind: Column) -> Column:
+        text = _field(v, name, "string")
+        if want == "list":
             said = F.concat(F.lit(f"'{name}' must be an array (got "), kind, F.lit(")"))
+            problem = F.when(kind != "list", said)
+        elif want == "str":
+            said = F.concat(F.lit(f"'{name}' must be a non-empty string (got "), kind, F.lit(")"))
+            problem = F.when(kind != "str", said).when(strip(text) == "", said)
         else:
-            score = match_score(v)
-            bad = score.isNull() | ~score.between(1, 10)
-            plain = _field(v, name, "string")
-            said = F.when(
-                score.isNull(),
-                F.concat(F.lit("'match_score' must be a number (got "), kind, F.lit(": "),
-                         _shown(v, name), F.lit(")")),
-            ).otherwise(F.concat(F.lit("'match_score' must be 1-10 (got "), plain, F.lit(")")))
-        missing = F.lit(f"missing field '{name}'")
-        checks.append(F.when(field.isNull(), missing).when(bad, said))
+            problem = F.when(score.isNull(), F.concat(
+                F.lit(f"'{name}' must be a number (got "), kind, F.lit(": "), _shown(text, kind),
+                F.lit(")"),
+            )).when(~score.between(1, 10), F.concat(
+                F.lit(f"'{name}' must be 1-10 (got "), text, F.lit(")")))
+        return F.when(kind.isNull(), F.lit(f"missing field '{name}'")).otherwise(problem)
+
+    return let(_type_name(_field(v, name)), judge)
+
+
+def analysis_errors(v: Column, score: Column, advice: Column) -> Column:
+    """array<string> of problems, in field order; empty for a valid answer. ``score`` and
+    ``advice`` are the match score and recommendation already read from it."""
+    checks = [_field_error(v, name, want, score) for name, want in REQUIRED.items()]
+    shown = _shown(_field(v, "recommendation", "string"), _type_name(_field(v, "recommendation")))
     unknown = _field(v, "recommendation").isNotNull() & ~F.coalesce(
-        recommendation(v).isin(RECOMMENDATIONS), F.lit(False)
-    )
-    checks.append(
-        F.when(unknown, F.concat(
-            F.lit("'recommendation' must be one of ['apply', 'maybe', 'skip'] (got "),
-            _shown(v, "recommendation"), F.lit(")")))
-    )
+        advice.isin(RECOMMENDATIONS), F.lit(False))
+    checks.append(F.when(unknown, F.concat(
+        F.lit("'recommendation' must be one of ['apply', 'maybe', 'skip'] (got "), shown, F.lit(")"))))
     return F.array_compact(F.array(*checks))
 
 
 def validated(v: Column) -> Column:
     """struct(errors, match_score, recommendation): the last two normalised."""
-    return let(v, lambda x: F.struct(
-        analysis_errors(x).alias("errors"),
-        match_score(x).alias("match_score"),
-        recommendation(x).alias("recommendation"),
-    ))
+
+    def check(x: Column) -> Column:
+        read = F.struct(match_score(x).alias("score"), recommendation(x).alias("advice"))
+        return let(read, lambda r: F.struct(
+            analysis_errors(x, r["score"], r["advice"]).alias("errors"),
+            r["score"].alias("match_score"), r["advice"].alias("recommendation"),
+        ))
+
+    return let(v, check)

@@ -11,7 +11,7 @@ from boardlake.plans.base import (
 )
 
 SEARCH = bd.BoardParams(
-    query="auto hi", source="automobile", remote="remote", job_type="high", salary_min=20000.0,
+    query="auto cust", source="automobile", remote="remote", job_type="i", salary_min=20000.0,
     posted_in_last_days=2400, region="Europe", page=1, per_page=25)
 SEARCHED_SQL = "title || ' ' || company || ' ' || description || ' ' || tags || ' ' || location"
 EDGE = "(?:^|[^\\p{L}\\p{N}])"
@@ -30,9 +30,9 @@ def shown(df: DataFrame) -> DataFrame:
 @query("board_search", f"""
 SELECT {', '.join(SHOWN)} FROM ({O_SQL})
 WHERE lower(source) = 'automobile' AND lower(remote) = 'remote' AND salary_min >= 20000
-  AND contains(lower(job_type), 'high') AND {POSTED_SQL} >= DATE '{AS_OF}' - 2400
+  AND contains(lower(job_type), 'i') AND {POSTED_SQL} >= DATE '{AS_OF}' - 2400
   AND lower(location) LIKE '%europe%'
-  AND regexp_matches(lower({SEARCHED_SQL}), '{EDGE}auto') AND regexp_matches(lower({SEARCHED_SQL}), '{EDGE}hi')
+  AND regexp_matches(lower({SEARCHED_SQL}), '{EDGE}auto') AND regexp_matches(lower({SEARCHED_SQL}), '{EDGE}cust')
   AND job_id NOT IN ({RETURNED_SQL})
 ORDER BY {SORT_SQL} LIMIT 25
 """)
