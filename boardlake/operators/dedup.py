@@ -56,26 +56,23 @@ def cap_per_keyword(df: DataFrame, hits: str, n: int, n_keywords: int, source: s
     ``hits`` holds the positions of the keywords a row matches. Earlier keywords can take
     at most n*j links, so keyword j needs to see only its first n*(j+1): that bound is cut
     with window group limits, and the serving order then runs on a few rows per source.
-    Output: source, url, seq, keyword.
+    Output: the columns of ``df`` with ``keyword`` in place of ``hits``.
     """
-    rows = df.select(
-        F.col(source).alias("source"), F.col(url).alias("url"), F.col(seq).alias("seq"),
-        F.explode(hits).alias("keyword"),
-    )
     # rows without a link are never duplicates: their arrival number stands in for it
-    key = F.when(F.col("url") != "", F.col("url")).otherwise(F.concat(F.lit("#"), F.col("seq")))
-    rows = rows.withColumn("__key", key)
-    rows = first_rows(rows, ["source", "keyword", "__key"], [F.col("seq")])
+    own = F.concat(F.lit("#"), F.col(seq).cast("string"))
+    rows = df.withColumn("keyword", F.explode(hits)).drop(hits).withColumn(
+        "__key", F.when(F.col(url) != "", F.col(url)).otherwise(own))
+    rows = first_rows(rows, [source, "keyword", "__key"], [F.col(seq)])
     per_kw = []
     for j in range(n_keywords):
-        per_kw.append(first_rows(rows.filter(F.col("keyword") == j), ["source"], [F.col("seq")],
+        per_kw.append(first_rows(rows.filter(F.col("keyword") == j), [source], [F.col(seq)],
                                  n * (j + 1)))
     taken = None
     for j, candidates in enumerate(per_kw):
         if taken is not None:
-            candidates = candidates.join(taken.select("source", "__key"), ["source", "__key"],
+            candidates = candidates.join(taken.select(source, "__key"), [source, "__key"],
                                          "left_anti").select(*rows.columns)
-        mine = first_rows(candidates, ["source"], [F.col("seq")], n)
+        mine = first_rows(candidates, [source], [F.col(seq)], n)
         taken = mine if taken is None else taken.unionByName(mine)
     return taken.drop("__key")
 
