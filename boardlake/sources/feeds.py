@@ -252,7 +252,7 @@ def hn_hiring(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "HN Who is hiring", "json", hn_hiring, items=("$.hits",), filters_remote=False, filters_salary=False,
+    "HN Who is hiring", "json", hn_hiring, items=("$.hits",), filters_remote="none", filters_salary=False,
     keep=lambda r: r.text("title").rlike(r"(?i)who is hiring\?")))
 
 
@@ -369,7 +369,7 @@ def careerjet(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec("CareerJet", "json", careerjet, items=("$.hits",), dedup="url", cap_by="keyword",
-                       filters_remote=False, filters_salary=False))
+                       filters_remote="none", filters_salary=False))
 
 
 def jobdata(r: Item, p: SearchParams) -> dict[str, Column]:
@@ -390,7 +390,7 @@ def jobdata(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec("JobData", "json", jobdata, items=("$.results",), needs="title", dedup="url",
-                       cap_by="keyword", filters_remote=False, filters_salary=False))
+                       cap_by="keyword", filters_remote="none", filters_salary=False))
 
 
 # ---- RSS feeds ------------------------------------------------------------------------------
@@ -416,7 +416,7 @@ def lobsters(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("Lobsters", "rss", lobsters, filters_remote=False, filters_salary=False,
+register_feed(FeedSpec("Lobsters", "rss", lobsters, filters_remote="none", filters_salary=False,
                        searched=lambda r: [r.text("title"), r.text("description")]))
 
 
@@ -449,7 +449,7 @@ def totaljobs(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("Totaljobs", "rss", totaljobs, dedup="url", cap_by="keyword", filters_remote=False,
+register_feed(FeedSpec("Totaljobs", "rss", totaljobs, dedup="url", cap_by="keyword", filters_remote="none",
                        filters_salary=False, searched=lambda r: [r.text("title"), r.text("description")]))
 
 
@@ -476,7 +476,7 @@ def govuk(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "GOV.UK Find a Job", "html", govuk, cards=cards.govuk, dedup="all", cap_by="keyword", filters_remote=False,
+    "GOV.UK Find a Job", "html", govuk, cards=cards.govuk, dedup="all", cap_by="keyword", filters_remote="none",
     filters_salary=False, searched=lambda r: [r.text("title"), r.text("company"), r.text("location")]))
 
 
@@ -494,7 +494,7 @@ def linkedin_direct(r: Item, p: SearchParams) -> dict[str, Column]:
 
 register_feed(FeedSpec(
     "LinkedIn (Direct)", "html", linkedin_direct, cards=cards.direct, dedup="url", cap_by="keyword",
-    filters_salary=False, keep=lambda r: links.is_listing_link(r.text("url"))))
+    filters_remote="remote", filters_salary=False, keep=lambda r: links.is_listing_link(r.text("url"))))
 
 
 # ---- tables -----------------------------------------------------------------------------------
@@ -519,6 +519,6 @@ def jobspy(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("JobSpy", "table", jobspy, dedup="url", cap_by="keyword"))
-register_feed(FeedSpec("LinkedIn", "table", jobspy, dedup="url", cap_by="keyword", relabel="LinkedIn",
+register_feed(FeedSpec("JobSpy", "table", jobspy, dedup="url", cap_by="keyword", place_is_remote=True))
+register_feed(FeedSpec("LinkedIn", "table", jobspy, dedup="url", cap_by="keyword", relabel="LinkedIn", place_is_remote=True,
                        keep=lambda r: F.lower(r.text("site")) == "linkedin"))

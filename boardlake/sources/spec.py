@@ -105,7 +105,8 @@ class FeedSpec:
     cap_by: str = "source"                       # source | keyword
     remote_only: bool = False
     unknown_is_remote: bool = False
-    filters_remote: bool = True
+    filters_remote: str = "both"                 # wishes honoured: both | remote | none
+    place_is_remote: bool = False                # a location saying "remote" counts too
     filters_salary: bool = True
     cards: Callable[[Column], Column] | None = None
     relabel: str | None = None                   # source shown, set after the id is made
@@ -126,24 +127,23 @@ RSS_CHANNEL = (
 )
 
 
-def _landed(df: DataFrame) -> DataFrame:
+def _landed(df: DataFrame, *more: Column) -> DataFrame:
     """File facts every layout carries: arrival time, file, and the board and keyword
     written into the landing path (board=.../keyword=...)."""
     path = F.col("_metadata.file_path")
     part = lambda name: F.url_decode(F.regexp_extract(path, rf"/{name}=([^/]*)/", 1))
     return df.select(
         "*", F.col("_metadata.file_modification_time").alias("landed_at"), path.alias("landed_file"),
-        part("board").alias("board"), part("keyword").alias("keyword"))
+        part("board").alias("board"), part("keyword").alias("keyword"), *more)
 
 
 def read_items(spark: SparkSession, spec: FeedSpec, path: str) -> DataFrame:
     """Landed files of a feed, one row per item: item, board, keyword, landed_at, seq."""
     reader = spark.read.option("recursiveFileLookup", True)
     if spec.layout == "table":
-        rows = _landed(reader.parquet(path))
-        facts = ["landed_at", "landed_file", "board", "keyword"]
-        rows = rows.select(*facts, F.monotonically_increasing_id().alias("pos"),
-                           F.struct(*[c for c in rows.columns if c not in facts]).alias("item"))
+        rows = _landed(reader.parquet(path), F.col("_metadata.row_index").alias("pos"))
+        facts = ["landed_at", "landed_file", "board", "keyword", "pos"]
+        rows = rows.select(*facts, F.struct(*[c for c in rows.columns if c not in facts]).alias("item"))
     elif spec.layout == "rss":
         rows = _landed(reader.option("rowTag", "channel").schema(RSS_CHANNEL).xml(path))
         rows = rows.select("*", F.posexplode("item").alias("pos", "entry")).drop("item").withColumnRenamed("entry", "item")
@@ -204,8 +204,11 @@ def ingest(items: DataFrame, spec: FeedSpec, p: SearchParams, as_of: Column | No
     rows = map_feed(items, spec, p)
     if spec.searched and p.keywords:
         rows = rows.filter(pr.matches_keywords(F.col("searched"), list(p.keywords)))
-    if spec.filters_remote:
-        rows = rows.filter(pr.remote_filter(F.col("remote"), p.remote, spec.remote_only, spec.unknown_is_remote))
+    if spec.filters_remote == "both" or p.remote == spec.filters_remote.title():
+        remote = F.col("remote")
+        if spec.place_is_remote:
+            remote = F.when(pr.contains_text(F.col("location"), "remote"), "Remote").otherwise(remote)
+        rows = rows.filter(pr.remote_filter(remote, p.remote, spec.remote_only, spec.unknown_is_remote))
     if spec.filters_salary and p.salary_min:
         rows = rows.filter(pr.salary_floor_lenient(F.col("salary_max"), p.salary_min))
     if p.posted_in_last_days and as_of is not None:
