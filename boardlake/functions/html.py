@@ -27,6 +27,10 @@ VOID = {
 }
 
 
+class Raw(str):
+    """Markup kept as it is and not part of the visible text, like a doctype."""
+
+
 class Node:
     """Element of a parsed page; ``parts`` mixes text and child nodes."""
 
@@ -50,7 +54,7 @@ class Node:
         while stack:
             part = stack.pop()
             if isinstance(part, str):
-                out.append(part.strip())
+                out.append("" if isinstance(part, Raw) else part.strip())
             elif part.tag not in ("script", "style"):
                 stack.extend(reversed(part.parts))
         return "".join(out)
@@ -84,6 +88,12 @@ class _TreeBuilder(HTMLParser):
     def handle_data(self, data):
         self.at.parts.append(data)
 
+    def handle_decl(self, decl):
+        self.at.parts.append(Raw(f"<!{decl}>\n"))
+
+    def handle_pi(self, data):
+        self.at.parts.append(Raw(f"<?{data}>"))
+
 
 def parse(page: str) -> Node:
     builder = _TreeBuilder()
@@ -92,11 +102,19 @@ def parse(page: str) -> Node:
     return builder.root
 
 
+def _quoted(value: str) -> str:
+    """Double quotes, or single ones around a value that holds only double quotes."""
+    text = escape(value, quote=False)
+    if '"' in text and "'" not in text:
+        return f"'{text}'"
+    return '"' + text.replace('"', "&quot;") + '"'
+
+
 def _open_tag(node: Node) -> str:
     kept = {k: node.attrs[k] for k in node.attrs if k in KEPT_ATTRS.get(node.tag, [])}
     if node.tag == "a" and kept.get("href"):
         kept.update(LINK_EXTRAS)
-    attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in kept.items())
+    attrs = "".join(f" {k}={_quoted(v)}" for k, v in kept.items())
     return f"<{node.tag}{attrs}/>" if node.tag in VOID else f"<{node.tag}{attrs}>"
 
 
@@ -114,6 +132,8 @@ def sanitize(page: str) -> str:
                 stack.extend(reversed(part.parts))
         elif isinstance(part, tuple):
             out.append(f"</{part[0]}>")
+        elif isinstance(part, Raw):
+            out.append(part)
         else:
             out.append(escape(part, quote=False))
     return "".join(out).strip()

@@ -34,9 +34,9 @@ def dedup_first(df: DataFrame, keys: list[str], seq: str, blank_ok: str | None =
     key and are all kept."""
     if blank_ok is None:
         return first_rows(df, keys, [F.col(seq)])
-    has_key = F.col(blank_ok) != ""
-    kept = first_rows(df.filter(has_key), keys, [F.col(seq)])
-    return kept.unionByName(df.filter(~has_key))
+    # a row without a key gets its own arrival number as key: one pass, evenly spread
+    own = F.when(F.col(blank_ok) == "", F.col(seq).cast("string")).otherwise("")
+    return first_rows(df.withColumn("__own", own), [*keys, "__own"], [F.col(seq)]).drop("__own")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

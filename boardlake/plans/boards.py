@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boardlake.operators import board as bd, dedup as dd, marks as mk, predicates as pr, sinks as sk
 from boardlake.plans.base import (
-    AS_OF, C_SQL, L_SQL, M_SQL, O_SQL, RETURNED_SQL, STATE_SQL, as_of, cat, customer_board, docs_board,
-    marks_log, orders_board, query, returned_marks, sql_stamp, stamp, table,
+    AS_OF, C_SQL, O_SQL, RETURNED_SQL, STATE_SQL, as_of, cat, customer_board, marks_log, orders_board, query, returned_marks, sql_stamp, stamp, table,
 )
 
 SEARCH = bd.BoardParams(
@@ -40,19 +39,9 @@ def board_search(spark, sf):
     return shown(bd.board(orders_board(spark, sf), returned_marks(spark, sf), SEARCH, as_of()))
 
 
-@query("board_load_all", f"""
-SELECT row_number() OVER (ORDER BY date_scraped DESC, job_id) AS pos, job_id FROM ({O_SQL}) QUALIFY pos <= 100
-""")
+@query("board_load_all", f"SELECT {', '.join(SHOWN)} FROM ({O_SQL})")
 def board_load_all(spark, sf):
-    rows = orders_board(spark, sf).orderBy(F.col("date_scraped").desc(), "job_id").limit(100)
-    return numbered(rows.select("job_id", "date_scraped"), [F.col("date_scraped").desc(), F.col("job_id")])
-
-
-def numbered(page: DataFrame, keys) -> DataFrame:
-    """Positions on one page (at most a page of rows, so one task is right)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy(*keys)
-    return page.select(F.row_number().over(w).cast("bigint").alias("pos"), "job_id")
+    return shown(orders_board(spark, sf).orderBy(F.col("date_scraped").desc(), "job_id"))
 
 
 PAGE = bd.BoardParams(remote="On-site", page=999999, per_page=40, include_marked=True)
@@ -80,33 +69,27 @@ def page_totals(spark, sf):
     return bd.page_totals(bd.board_rows(orders_board(spark, sf), None, PAGE, as_of()), PAGE)
 
 
-@query("sort_whitelist", f"""
-WITH o AS ({O_SQL})
-(SELECT 'salary_min asc' AS sort, row_number() OVER (ORDER BY salary_min ASC NULLS FIRST, job_id) AS pos, job_id FROM o QUALIFY pos <= 50)
-UNION ALL (SELECT 'salary_max desc', row_number() OVER (ORDER BY salary_max DESC NULLS LAST, job_id) AS pos, job_id FROM o QUALIFY pos <= 50)
-UNION ALL (SELECT 'drop table', row_number() OVER (ORDER BY {SORT_SQL}) AS pos, job_id FROM o QUALIFY pos <= 50)
-""")
+def _sql_page(name: str, order: str) -> str:
+    return f"(SELECT '{name}' AS sort, job_id FROM o ORDER BY {order} LIMIT 50)"
+
+
+@query("sort_whitelist", f"WITH o AS ({O_SQL}) " + " UNION ALL ".join([
+    _sql_page("salary_min asc", "salary_min ASC NULLS FIRST, job_id"),
+    _sql_page("salary_max desc", "salary_max DESC NULLS LAST, job_id"), _sql_page("drop table", SORT_SQL)]))
 def sort_whitelist(spark, sf):
-    out = []
+    pages = []
     for name, by, order in (("salary_min asc", "salary_min", "asc"), ("salary_max desc", "salary_max", "desc"),
                             ("drop table", "drop table", "desc")):
-        keys = bd.sort_keys(by, order)
-        page = orders_board(spark, sf).orderBy(*keys).limit(50)
-        from pyspark.sql import Window
-        pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).cast("bigint")
-        out.append(page.select(F.lit(name).alias("sort"), pos.alias("pos"), "job_id"))
-    return dd.union_sources(out)
+        p = bd.BoardParams(sort_by=by, order=order, per_page=50)
+        pages.append(bd.board(orders_board(spark, sf), None, p, as_of()).select(F.lit(name).alias("sort"), "job_id"))
+    return dd.union_sources(pages)
 
 
-@query("newest_first", f"""
-SELECT row_number() OVER (ORDER BY d DESC NULLS LAST, job_id) AS pos, job_id FROM (
-  SELECT job_id, try_cast(date_posted AS DATE) AS d FROM ({O_SQL})) QUALIFY pos <= 60
-""")
+@query("newest_first", f"SELECT job_id, strftime(try_cast(date_posted AS DATE), '%Y-%m-%d') AS posted FROM ({O_SQL})")
 def newest_first(spark, sf):
-    rows = orders_board(spark, sf).select(
-        "job_id", F.try_to_date("date_posted", "yyyy-MM-dd").alias("d"))
-    keys = bd.newest_first(F.col("d"))
-    return numbered(rows.orderBy(*keys).limit(60), keys)
+    posted = F.date_format(F.try_to_date("date_posted", "yyyy-MM-dd"), "yyyy-MM-dd")
+    rows = orders_board(spark, sf).select("job_id", posted.alias("posted"))
+    return rows.orderBy(*bd.newest_first(F.col("posted")))
 
 
 @query("salary_floor_strict", f"SELECT job_id FROM ({O_SQL}) WHERE salary_min IS NOT NULL AND salary_min >= 250000")
@@ -119,9 +102,6 @@ def salary_floor_lenient(spark, sf):
     return orders_board(spark, sf).filter(pr.salary_floor_lenient(F.col("salary_min"), 250000)).select("job_id")
 
 
-BAD_DATE_SQL = "CASE WHEN o_orderkey % 7 = 0 THEN '2001-13-45' ELSE date_posted END"
-
-
 @query("posted_recently", f"""
 WITH o AS (SELECT job_id, date_scraped, CASE WHEN seq % 7 = 0 THEN '2001-13-45' ELSE date_posted END AS date_posted FROM ({O_SQL}))
 SELECT job_id FROM o WHERE {POSTED_SQL} >= DATE '{AS_OF}' - 365
@@ -206,9 +186,8 @@ def listing_detail_flags(spark, sf):
 @query("favourites_list", f"""
 WITH {STATE_SQL}
 SELECT c.job_id, title, company, {sql_stamp('s.since')} AS created_at,
-  CAST(c.job_id IN (SELECT job_id FROM state WHERE kind = 'applied') AS BIGINT) AS is_applied, CAST(1 AS BIGINT) AS is_favourite,
-  row_number() OVER (ORDER BY s.since DESC, c.job_id) AS pos
-FROM ({C_SQL}) c JOIN state s ON s.job_id = c.job_id AND s.kind = 'favourite' QUALIFY pos <= 200
+  CAST(c.job_id IN (SELECT job_id FROM state WHERE kind = 'applied') AS BIGINT) AS is_applied, CAST(1 AS BIGINT) AS is_favourite
+FROM ({C_SQL}) c JOIN state s ON s.job_id = c.job_id AND s.kind = 'favourite'
 """)
 def favourites_list(spark, sf):
     rows = mk.favourites(customer_board(spark, sf), state(spark, sf))
@@ -216,19 +195,15 @@ def favourites_list(spark, sf):
 
 
 def _listed(rows, kind, at, extra):
-    from pyspark.sql import Window
-    keys = bd.sort_keys(at, "desc", kind)
-    page = rows.orderBy(*keys).limit(200)
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).cast("bigint")
-    return page.select("job_id", "title", "company", stamp(at).alias(at), *extra, pos.alias("pos"))
+    ordered = rows.orderBy(*bd.sort_keys(at, "desc", kind))
+    return ordered.select("job_id", "title", "company", stamp(at).alias(at), *extra)
 
 
 @query("applications_list", f"""
 WITH {STATE_SQL}
 SELECT c.job_id, title, company, {sql_stamp('s.since')} AS applied_at, s.notes AS application_notes,
-  CAST(c.job_id IN (SELECT job_id FROM state WHERE kind = 'favourite') AS BIGINT) AS is_favourite, CAST(1 AS BIGINT) AS is_applied,
-  row_number() OVER (ORDER BY s.since DESC, c.job_id) AS pos
-FROM ({C_SQL}) c JOIN state s ON s.job_id = c.job_id AND s.kind = 'applied' QUALIFY pos <= 200
+  CAST(c.job_id IN (SELECT job_id FROM state WHERE kind = 'favourite') AS BIGINT) AS is_favourite, CAST(1 AS BIGINT) AS is_applied
+FROM ({C_SQL}) c JOIN state s ON s.job_id = c.job_id AND s.kind = 'applied'
 """)
 def applications_list(spark, sf):
     rows = mk.applications(customer_board(spark, sf), state(spark, sf))
@@ -276,15 +251,12 @@ def changelog_state(spark, sf):
 @query("single_active", f"""
 WITH c AS ({CHANGES_SQL}), l AS (SELECT note_id, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(ts, seq) AS ts FROM c GROUP BY note_id),
 r AS (SELECT note_id, CAST(coalesce(seq = (SELECT max(seq) FROM c WHERE active), false) AS BIGINT) AS is_active, ts FROM l WHERE op <> 'delete')
-SELECT note_id, is_active, {sql_stamp('ts')} AS updated_at, row_number() OVER (ORDER BY is_active DESC, ts DESC, note_id) AS pos FROM r QUALIFY pos <= 100
+SELECT note_id, is_active, {sql_stamp('ts')} AS updated_at FROM r
 """)
 def single_active(spark, sf):
-    from pyspark.sql import Window
     rows = mk.single_active(changes(spark, sf), "note_id")
-    keys = [F.col("is_active").desc(), F.col("updated_at").desc(), F.col("note_id")]
-    page = rows.orderBy(*keys).limit(100)
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).cast("bigint")
-    return page.select("note_id", "is_active", stamp("updated_at").alias("updated_at"), pos.alias("pos"))
+    ordered = rows.orderBy(F.col("is_active").desc(), F.col("updated_at").desc(), "note_id")
+    return ordered.select("note_id", "is_active", stamp("updated_at").alias("updated_at"))
 
 
 @query("orphans_pruned", """

@@ -135,7 +135,8 @@ def test_classes(value):
 @pytest.mark.parametrize("page,safe", [
     ("<div class=x><p>Hi & you<br><a href='/x' onclick=1>l</a></div>",
      '<div><p>Hi &amp; you<br/><a href="/x" target="_blank" rel="noopener noreferrer">l</a></p></div>'),
-    ("a<script>b</script><!-- c --><form><p>d</p></form>e", "ae"), ("<img src=a alt='b\"' width=1>", '<img src="a" alt="b&quot;"/>'),
+    ("a<script>b</script><!-- c --><form><p>d</p></form>e", "ae"), ("<img src=a alt='b\"' width=1>", """<img src="a" alt='b"'/>"""),
+    ("<!DOCTYPE html><p>x</p>", "<!DOCTYPE html>\n<p>x</p>"),
     ("plain text ", "plain text"), ("<a name=x>t</a>", "<a>t</a>"), ("<b>un<i>closed", "<b>un<i>closed</i></b>"), ("", ""),
     ("1 < 2", "1 &lt; 2"), ("<style>p{}</style><p>x</p></div>", "<p>x</p>"),
 ])

@@ -226,3 +226,15 @@ def test_pending_needs_an_active_prompt(spark):
 def test_json_safe_row(spark):
     df = spark.createDataFrame([(1, None, T0, 2.5)], "id int, s string, t timestamp_ntz, n double")
     assert bd.json_safe(df).collect()[0].asDict() == {"s": "", "t": "2024-01-01 00:00:00", "n": "2.5"}
+
+
+def test_lists_come_in_order(spark):
+    import __spark_entry__ as entry
+    q, sf = entry.queries(), "/root/testdata/sf0.001"
+    fav = [(r["created_at"], r["job_id"]) for r in q["favourites_list"](spark, sf).collect()]
+    assert fav == sorted(sorted(fav, key=lambda x: x[1]), key=lambda x: x[0], reverse=True) and fav
+    dated = [r["posted"] for r in q["newest_first"](spark, sf).collect()]
+    known = [d for d in dated if d]
+    assert known == sorted(known, reverse=True) and dated[len(known):] == [None] * (len(dated) - len(known))
+    kept = [(-r["is_active"], r["updated_at"]) for r in q["single_active"](spark, sf).collect()]
+    assert [k[0] for k in kept] == sorted(k[0] for k in kept)
