@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boardlake.functions import analysis_json as aj
 from boardlake.functions.text import strip
 from boardlake.operators.marks import flags
+from boardlake.operators.paging import page
 from boardlake.schema import MARK_KINDS
 
 MAX_LIMIT, DEFAULT_LIMIT = 200, 50
@@ -125,7 +126,8 @@ def analyses_rows(analyses: DataFrame, listings: DataFrame, prompts: DataFrame,
 def analyses_list(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """One page, newest first."""
     keys = [F.col("analysed_at").desc(), F.col("job_id"), F.col("prompt_id")]
-    return rows.orderBy(*keys).offset(offset).limit(min(limit or DEFAULT_LIMIT, MAX_LIMIT))
+    return page(rows, keys, ["analysed_at", "job_id", "prompt_id"], offset,
+                min(limit or DEFAULT_LIMIT, MAX_LIMIT))
 
 
 def analyses_for_listing(analyses: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boardlake.functions.dates import is_iso
 from boardlake.functions.regions import region_filter
 from boardlake.operators import predicates as pr
+from boardlake.operators.paging import page
 
 # Sortable columns per list; the first is the fallback (fixed values).
 SORTS = {
@@ -97,6 +98,13 @@ def sort_keys(sort_by: str, order: str, kind: str = "board", tiebreak: str = "jo
     return [turn(F.col(name)), F.col(tiebreak).asc()]
 
 
+def sort_columns(sort_by: str, kind: str = "board", tiebreak: str = "job_id") -> list[str]:
+    """Columns the ordering reads."""
+    name = sort_by if sort_by in SORTS[kind] else SORTS[kind][0]
+    extra = ["date_scraped"] if kind == "board" and name == "date_posted" else []
+    return [name, *extra, tiebreak]
+
+
 def newest_first(posted: Column, tiebreak: str = "job_id") -> list[Column]:
     """Newest first, undated last."""
     return [posted.desc_nulls_last(), F.col(tiebreak).asc()]
@@ -111,13 +119,12 @@ def board_rows(listings: DataFrame, state: DataFrame | None, p: BoardParams, as_
 
 
 def board(listings: DataFrame, state: DataFrame | None, p: BoardParams, as_of: Column) -> DataFrame:
-    """One page: filters, order, slice. The plan ends in TakeOrderedAndProject, so no full
-    sort and no full result. ``page`` is taken as it is; see ``clamp_page``."""
+    """One page: filters, order, slice. Near the top the plan ends in
+    TakeOrderedAndProject: no full sort, no full result. For pages far down see ``page``.
+    The page number is taken as it is; see ``clamp_page``."""
     rows = board_rows(listings, state, p, as_of)
-    return (
-        rows.orderBy(*sort_keys(p.sort_by, p.order))
-        .offset((p.page - 1) * p.per_page).limit(p.per_page)
-    )
+    return page(rows, sort_keys(p.sort_by, p.order), sort_columns(p.sort_by),
+                (p.page - 1) * p.per_page, p.per_page)
 
 
 def page_totals(rows: DataFrame, p: BoardParams) -> DataFrame:

@@ -128,6 +128,17 @@ def test_pages_add_up_to_the_whole(spark):
     assert pages == whole
 
 
+@pytest.mark.parametrize("by,order", [("salary_min", "asc"), ("salary_min", "desc"), ("date_posted", "desc")])
+def test_deep_pages_equal_shallow_ones(spark, by, order):
+    from boardlake.operators.paging import page
+    _, df = listing_frame(spark, n=80)
+    keys, cols = bd.sort_keys(by, order), bd.sort_columns(by)
+    whole = [r["job_id"] for r in df.orderBy(*keys).collect()]
+    for offset in (0, 33, 75, 200):
+        got = [r["job_id"] for r in page(df, keys, cols, offset, 10, shallow=0).collect()]
+        assert got == whole[offset:offset + 10]
+
+
 def brute_budget(stamps, n, width):
     kept, out = [], []
     for t in stamps:
