@@ -315,6 +315,19 @@ def ingest_report(spark, sf):
 
 
 # ---- dedup, caps, unions, sinks -------------------------------------------------------------
+@query("ingest_report_times", f"""
+WITH e AS (SELECT event_type AS source, user_id AS k, event_id, ts FROM events),
+w AS (SELECT k, arg_min(source, event_id) AS source FROM e GROUP BY k)
+SELECT source, count(*) AS found, (SELECT count(*) FROM w WHERE w.source = e.source) AS new_rows, CAST(0 AS BIGINT) AS errors,
+  {sql_stamp('min(ts)')} AS started_at, {sql_stamp('max(ts)')} AS finished_at FROM e GROUP BY source
+""")
+def ingest_report_times(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("job_id"),
+                                          F.col("event_id").alias("seq"), "ts")
+    return sk.ingest_report(e, ts="ts").withColumns(
+        {"started_at": stamp("started_at"), "finished_at": stamp("finished_at")})
+
+
 @query("dedup_first_url", """
 WITH d AS (SELECT doc_id, source, CASE WHEN lang = 'es' THEN '' ELSE md5(text) END AS url FROM documents)
 SELECT doc_id, source, url FROM d QUALIFY url = '' OR row_number() OVER (PARTITION BY source, url ORDER BY doc_id) = 1

@@ -101,6 +101,23 @@ def html_to_text(spark, sf):
         "page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
+@query("html_sanitize_content", f"""
+WITH a AS (SELECT page_id, html, string_split(regexp_replace(regexp_replace(html, '{HIDDEN}', chr(1), 'g'),
+    '<[^>]+>', chr(1), 'g'), chr(1)) AS parts FROM pages)
+SELECT page_id, md5(array_to_string(list_filter(list_transform(parts, lambda x: {sql_strip(sql_unescape('x'))}),
+    lambda x: x <> ''), ' ')) AS visible, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS safe_links,
+  CAST(0 AS BIGINT) AS scripts, CAST(0 AS BIGINT) AS other_attributes FROM a
+""")
+def html_sanitize_content(spark, sf):
+    """Sanitising keeps the visible text and the links, and nothing of scripts or attributes."""
+    safe = table(spark, sf, "pages").select("page_id", html.clean_html(F.col("html")).alias("s"))
+    count = lambda regex: F.regexp_count("s", F.lit(regex)).cast("bigint")
+    return safe.select(
+        "page_id", F.md5(tx.strip_html(F.col("s"))).alias("visible"),
+        count('<a href="[^"]*" target="_blank" rel="noopener noreferrer">').alias("safe_links"),
+        count("(?i)<(script|style)").alias("scripts"), count('<(?!a |img )[a-z0-9]+ [^>]*>').alias("other_attributes"))
+
+
 @query("page_title", f"""
 SELECT page_id, {sql_strip(sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM pages
 """)

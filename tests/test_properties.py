@@ -192,9 +192,9 @@ def test_ingest_again_adds_nothing(spark, tmp_path):
     schema, target = "job_id string, seq long, v string", str(tmp_path / "t")
     a = spark.createDataFrame([("x", 1, "first"), ("x", 2, "later"), ("y", 3, "y")], schema)
     spark.createDataFrame([], schema).write.parquet(target)
-    sk.write_new(a, target)
-    sk.write_new(a, target)
-    sk.write_new(spark.createDataFrame([("x", 0, "too late"), ("z", 9, "z")], schema), target)
+    assert sk.write_new(a, target) == 2
+    assert sk.write_new(a, target) == 0
+    assert 1 == sk.write_new(spark.createDataFrame([("x", 0, "too late"), ("z", 9, "z")], schema), target)
     assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [("x", 1, "first"), ("y", 3, "y"), ("z", 9, "z")]
 
 
