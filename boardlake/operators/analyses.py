@@ -76,15 +76,17 @@ def with_message(listings: DataFrame, prompts: DataFrame) -> DataFrame:
 def split_answers(answers: DataFrame, text: str = "answer") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). Valid answers carry the object text with a whole-number score
     and a lower-case recommendation beside it; rejected ones the list of errors."""
-    found = answers.withColumn("result", aj.json_object_text(F.col(text)))
-    checked = found.withColumn("check", aj.validated(F.try_parse_json("result")))
+    # Each step is a generated row, not a projected column: a filter on a projected column
+    # is pushed below the projection, which would run all the checks twice.
+    once = lambda df, c: df.select("*", F.inline_outer(F.array(c)))
+    found = once(answers, F.struct(aj.json_object_text(F.col(text)).alias("result")))
+    checked = once(found, aj.validated(F.try_parse_json("result")))
     no_json = F.array(F.lit("No valid JSON object found"))
-    errors = F.when(F.col("result").isNull(), no_json).otherwise(F.col("check.errors"))
-    checked = checked.withColumn("errors", errors)
-    valid = checked.filter(F.size("errors") == 0).withColumns({
-        "match_score": F.col("check.match_score"), "recommendation": F.col("check.recommendation"),
-    }).drop("check", "errors")
-    return valid, checked.filter(F.size("errors") > 0).drop("check")
+    checked = checked.withColumn(
+        "errors", F.when(F.col("result").isNull(), no_json).otherwise(F.col("errors")))
+    valid = checked.filter(F.size("errors") == 0).drop("errors")
+    rejected = checked.filter(F.size("errors") > 0).drop("match_score", "recommendation")
+    return valid, rejected
 
 
 def analyses_filter(df: DataFrame, query: str = "", min_score: int = 0,

@@ -249,3 +249,16 @@ def test_lists_come_in_order(spark):
     assert known == sorted(known, reverse=True) and dated[len(known):] == [None] * (len(dated) - len(known))
     kept = [(-r["is_active"], r["updated_at"]) for r in q["single_active"](spark, sf).collect()]
     assert [k[0] for k in kept] == sorted(k[0] for k in kept)
+
+
+def test_split_answers(spark):
+    import json
+    from boardlake.functions.analysis_json import REQUIRED
+    good = {k: {"list": [], "str": "x", "score": "7"}[v] for k, v in REQUIRED.items()} | {"recommendation": " APPLY "}
+    rows = [(1, json.dumps(good)), (2, "sorry"), (3, "```json\n" + json.dumps(good | {"match_score": 11}) + "\n```"), (4, "{}")]
+    valid, rejected = an.split_answers(spark.createDataFrame(rows, "id long, answer string"))
+    assert [(r["id"], r["match_score"], r["recommendation"]) for r in valid.collect()] == [(1, 7, "apply")]
+    errors = {r["id"]: r["errors"] for r in rejected.collect()}
+    assert errors[2] == ["No valid JSON object found"]
+    assert errors[3] == ["'match_score' must be 1-10 (got 11)"]
+    assert errors[4] == [f"missing field '{k}'" for k in REQUIRED]
