@@ -28,7 +28,7 @@ def _salary(bounds: Column) -> dict[str, Column]:
 def remoteok(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("position"), "company": r.text("company"), "location": r.text("location", "Remote"),
-        "description": clean_html(r.text("description")),
+        "description": r.text("description"),
         "url": links.absolute(r.first("apply_url", "url"), "https://remoteok.com"),
         "remote": F.lit("Remote"), "salary_min": r.number("salary_min"), "salary_max": r.number("salary_max"),
         "salary_currency": F.lit("USD"), "job_type": F.lit(p.job_type or FULL_TIME),
@@ -45,7 +45,7 @@ def arbeitnow(r: Item, p: SearchParams) -> dict[str, Column]:
     job_types = r.listed("job_types")
     return {
         "title": r.text("title"), "company": r.text("company_name"), "location": r.text("location"),
-        "description": clean_html(r.text("description")),
+        "description": r.text("description"),
         "url": F.coalesce(r.raw("url", "string"), F.concat(F.lit("https://www.arbeitnow.com/view/"), r.text("slug"))),
         "remote": cl.remote_flag(r.flag("remote")), "job_type": tx.first_nonempty(job_types, F.lit(p.job_type)),
         "date_posted": r.text("created_at"), "tags": r.listed("tags"),
@@ -61,7 +61,7 @@ def the_muse(r: Item, p: SearchParams) -> dict[str, Column]:
     location = F.array_join(r.names("locations"), "; ")
     return {
         "title": r.text("name"), "company": r.name_of("company"), "location": location,
-        "description": clean_html(r.text("contents")), "url": r.text("refs.landing_page"),
+        "description": r.text("contents"), "url": r.text("refs.landing_page"),
         "remote": cl.remote_by_text(location, ("flexible", "remote")),
         "experience_level": F.array_join(r.names("levels", plain=False), ", "),
         "tags": F.array_join(r.names("categories"), ", "), "date_posted": r.text("publication_date"),
@@ -77,7 +77,7 @@ register_feed(FeedSpec(
 def jobicy(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("jobTitle"), "company": r.text("companyName"), "location": r.text("jobGeo", "Remote"),
-        "description": clean_html(r.text("jobDescription")), "url": r.text("url"), "remote": F.lit("Remote"),
+        "description": r.text("jobDescription"), "url": r.text("url"), "remote": F.lit("Remote"),
         "salary_min": r.number("annualSalaryMin"), "salary_max": r.number("annualSalaryMax"),
         "salary_currency": r.text("salaryCurrency", "USD"), "job_type": r.listed("jobType"),
         "date_posted": r.text("pubDate"), "tags": r.listed("jobIndustry"), "company_logo": r.text("companyLogo"),
@@ -94,7 +94,7 @@ def remotive(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("title"), "company": r.text("company_name"),
         "location": r.text("candidate_required_location", "Worldwide"),
-        "description": clean_html(r.text("description")), "url": r.text("url"), "remote": F.lit("Remote"),
+        "description": r.text("description"), "url": r.text("url"), "remote": F.lit("Remote"),
         **_salary(money.salary_text_v1(r.text("salary"))), "salary_currency": F.lit("USD"),
         "job_type": tx.label_case(r.text("job_type")), "date_posted": r.text("publication_date"),
         "tags": r.listed("tags"), "company_logo": r.text("company_logo"),
@@ -109,7 +109,7 @@ register_feed(FeedSpec(
 def working_nomads(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("title"), "company": r.text("company_name"), "location": r.text("location", "Remote"),
-        "description": clean_html(r.text("description")), "url": r.text("url"), "remote": F.lit("Remote"),
+        "description": r.text("description"), "url": r.text("url"), "remote": F.lit("Remote"),
         "job_type": F.lit(p.job_type or FULL_TIME), "date_posted": _day(r.text("pub_date")),
         "tags": tx.first_nonempty(r.listed("tags"), r.text("category_name")),
     }
@@ -131,7 +131,7 @@ def greenhouse(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "Greenhouse", "json", greenhouse, items=("$.jobs",),
+    "Greenhouse", "json", greenhouse, describe=tx.strip, items=("$.jobs",),
     searched=lambda r: [r.text("title"), F.coalesce(r.raw("company_name", "string"), tx.title_case(r.board)),
                         r.name_of("location")]))
 
@@ -144,7 +144,7 @@ def lever(r: Item, p: SearchParams) -> dict[str, Column]:
     place = _lever_place(r)
     return {
         "title": r.text("text"), "company": tx.slug_to_name(r.board), "location": place,
-        "description": clean_html(r.first("descriptionPlain", "description")), "url": r.text("hostedUrl"),
+        "description": r.first("descriptionPlain", "description"), "url": r.text("hostedUrl"),
         "remote": cl.remote_by_workplace(r.text("workplaceType"), place),
         "salary_min": r.number("salaryRange.min"), "salary_max": r.number("salaryRange.max"),
         "salary_currency": r.text("salaryRange.currency"),
@@ -182,7 +182,7 @@ def ashby(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("title"),
         "company": F.when(F.contains(r.board, F.lit("-")), tx.slug_to_name(r.board)).otherwise(r.board),
-        "location": place, "description": clean_html(r.first("descriptionPlain", "descriptionHtml")),
+        "location": place, "description": r.first("descriptionPlain", "descriptionHtml"),
         "url": tx.first_nonempty(r.first("jobUrl", "applyUrl"), by_id),
         "remote": cl.remote_flag(r.flag("isRemote") | F.contains(F.lower(place), F.lit("remote"))),
         **_ashby_pay(r), "job_type": cl.job_type_class(r.text("employmentType")),
@@ -208,7 +208,7 @@ def workable(r: Item, p: SearchParams) -> dict[str, Column]:
     by_code = F.when(code != "", F.concat(F.lit("https://apply.workable.com/"), r.board, F.lit("/j/"), code, F.lit("/")))
     return {
         "title": r.text("title"), "company": tx.slug_to_name(r.board), "location": place,
-        "description": clean_html(r.text("description")), "url": tx.first_nonempty(r.raw("url", "string"), by_code),
+        "description": r.text("description"), "url": tx.first_nonempty(r.raw("url", "string"), by_code),
         "remote": cl.remote_flag(r.flag("telecommuting") | F.contains(F.lower(place), F.lit("remote"))),
         "job_type": cl.job_type_class(r.first("employment_type", "type"), temporary=True),
         "date_posted": dt.cut_time(r.first("published_on", "created_at")),
@@ -226,7 +226,7 @@ def jobscollider(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.first("title", "name"), "company": r.first("company", "companyName"),
         "location": tx.first_nonempty(r.raw("location", "string"), F.lit("Remote")),
-        "description": clean_html(r.text("description")), "url": r.first("url", "link"), "remote": F.lit("Remote"),
+        "description": r.text("description"), "url": r.first("url", "link"), "remote": F.lit("Remote"),
         "salary_min": r.number("salary_min", "salaryMin"), "salary_max": r.number("salary_max", "salaryMax"),
         "salary_currency": r.first("salary_currency", "salaryCurrency"),
         "job_type": r.first("type", "jobType"), "date_posted": dt.cut_time(r.first("date", "publishedAt", "pubDate")),
@@ -252,7 +252,7 @@ def hn_hiring(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "HN Who is hiring", "json", hn_hiring, items=("$.hits",), filters_remote="none", filters_salary=False,
+    "HN Who is hiring", "json", hn_hiring, describe=tx.strip, items=("$.hits",), filters_remote="none", filters_salary=False,
     keep=lambda r: r.text("title").rlike(r"(?i)who is hiring\?")))
 
 
@@ -262,7 +262,7 @@ def adzuna(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": tx.strip_html(r.text("title")), "company": r.text("company.display_name"),
         "location": tx.first_nonempty(areas, r.raw("location.display_name", "string")),
-        "description": clean_html(description), "url": r.text("redirect_url"),
+        "description": description, "url": r.text("redirect_url"),
         "remote": cl.remote_by_text(F.concat_ws(" ", r.text("title"), description)),
         "salary_min": r.number("salary_min"), "salary_max": r.number("salary_max"),
         "salary_currency": F.lit("GBP" if p.country == "gb" else "USD"),
@@ -278,7 +278,7 @@ register_feed(FeedSpec("Adzuna", "json", adzuna, items=("$.results",), dedup="ur
 def reed(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("jobTitle"), "company": r.text("employerName"), "location": r.text("locationName"),
-        "description": clean_html(r.text("jobDescription")), "url": r.text("jobUrl"),
+        "description": r.text("jobDescription"), "url": r.text("jobUrl"),
         "remote": cl.remote_by_text(F.concat_ws(" ", r.text("jobTitle"), r.text("jobDescription"))),
         "salary_min": r.number("minimumSalary"), "salary_max": r.number("maximumSalary"),
         "salary_currency": F.lit("GBP"), "job_type": F.lit(p.job_type), "date_posted": r.text("date"),
@@ -297,7 +297,7 @@ def usajobs(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text(f"{d}.PositionTitle"),
         "company": tx.org_department(r.text(f"{d}.OrganizationName"), r.text(f"{d}.DepartmentName")),
-        "location": F.array_join(places, "; "), "description": clean_html(tx.strip(both)),
+        "location": F.array_join(places, "; "), "description": tx.strip(both),
         "url": F.coalesce(apply_link, r.text(f"{d}.PositionURI")), "remote": cl.remote_flag(telework == "True"),
         "salary_min": r.number(f"{d}.PositionRemuneration[0].MinimumRange"),
         "salary_max": r.number(f"{d}.PositionRemuneration[0].MaximumRange"), "salary_currency": F.lit("USD"),
@@ -314,7 +314,7 @@ def jooble(r: Item, p: SearchParams) -> dict[str, Column]:
     text = F.concat_ws(" ", r.text("title"), r.text("snippet"), r.text("location"))
     return {
         "title": tx.strip_html(r.text("title")), "company": r.text("company"), "location": r.text("location"),
-        "description": clean_html(r.text("snippet")), "url": r.text("link"), "remote": cl.remote_by_text(text),
+        "description": r.text("snippet"), "url": r.text("link"), "remote": cl.remote_by_text(text),
         **_salary(money.salary_text_v1(r.text("salary"))),
         "job_type": tx.first_nonempty(r.raw("type", "string"), F.lit(p.job_type)), "date_posted": r.text("updated"),
     }
@@ -341,7 +341,7 @@ def google_jobs(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("Google Jobs", "json", google_jobs, items=("$.jobs_results",), cap_by="keyword"))
+register_feed(FeedSpec("Google Jobs", "json", google_jobs, describe=tx.strip, items=("$.jobs_results",), cap_by="keyword"))
 
 
 def findwork(r: Item, p: SearchParams) -> dict[str, Column]:
@@ -349,7 +349,7 @@ def findwork(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("role"), "company": r.text("company_name"),
         "location": tx.first_nonempty(r.raw("location", "string"), F.when(far, "Remote")),
-        "description": clean_html(r.first("text", "description")), "url": r.text("url"),
+        "description": r.first("text", "description"), "url": r.text("url"),
         "remote": cl.remote_flag(far), "salary_min": r.number("salary_min"), "salary_max": r.number("salary_max"),
         "job_type": r.text("employment_type", p.job_type), "date_posted": r.text("date_posted"),
         "tags": r.listed("keywords"), "company_logo": r.text("company_logo"),
@@ -363,7 +363,7 @@ def careerjet(r: Item, p: SearchParams) -> dict[str, Column]:
     place = r.listed("locations")
     return {
         "title": r.text("title"), "company": r.text("company"), "location": place,
-        "description": clean_html(r.first("description", "snippet")), "url": r.text("url"),
+        "description": r.first("description", "snippet"), "url": r.text("url"),
         "remote": cl.remote_by_text(place, no="Unknown"), "date_posted": r.text("date"),
     }
 
@@ -389,7 +389,7 @@ def jobdata(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("JobData", "json", jobdata, items=("$.results",), needs="title", dedup="url",
+register_feed(FeedSpec("JobData", "json", jobdata, describe=tx.strip, items=("$.results",), needs="title", dedup="url",
                        cap_by="keyword", filters_remote="none", filters_salary=False))
 
 
@@ -399,7 +399,7 @@ def weworkremotely(r: Item, p: SearchParams) -> dict[str, Column]:
     tags = F.array_join(F.coalesce(r.raw("category"), F.array().cast("array<string>")), ", ")
     return {
         "title": title, "company": company, "location": F.lit("Remote"),
-        "description": clean_html(r.text("description")), "url": r.text("link"), "remote": F.lit("Remote"),
+        "description": r.text("description"), "url": r.text("link"), "remote": F.lit("Remote"),
         "job_type": F.lit(p.job_type or FULL_TIME), "date_posted": r.text("pubDate"),
         "tags": tx.first_nonempty(tags, r.board),
     }
@@ -411,7 +411,7 @@ register_feed(FeedSpec("WeWorkRemotely", "rss", weworkremotely, remote_only=True
 
 def lobsters(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
-        "title": r.text("title"), "description": clean_html(r.text("description")), "url": r.text("link"),
+        "title": r.text("title"), "description": r.text("description"), "url": r.text("link"),
         "date_posted": r.text("pubDate"), "tags": F.lit("lobsters, job"),
     }
 
@@ -432,7 +432,7 @@ def devitjobs(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("title"), "company": r.first("author", "dc:creator"),
         "location": tx.first_nonempty(r.raw("location", "string"), F.lit("United Kingdom")),
-        "description": clean_html(r.text("description")), "url": r.text("link"),
+        "description": r.text("description"), "url": r.text("link"),
         "remote": cl.remote_by_text(_devit_text(r)), **_salary(pay), "salary_currency": pay["currency"],
         "date_posted": F.coalesce(F.date_format(dt.mail_date(raw), "yyyy-MM-dd"), dt.cut_time(raw)),
         "tags": F.array_join(tags, ", "),
@@ -445,7 +445,7 @@ register_feed(FeedSpec("DevITjobs", "rss", devitjobs, searched=lambda r: [_devit
 def totaljobs(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": r.text("title"), "company": r.text("author"), "location": F.lit(p.location),
-        "description": clean_html(r.text("description")), "url": r.text("link"), "date_posted": r.text("pubDate"),
+        "description": r.text("description"), "url": r.text("link"), "date_posted": r.text("pubDate"),
     }
 
 
@@ -463,7 +463,7 @@ def remote_co(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "Remote.co", "html", remote_co, cards=cards.remote_co, dedup="url", cap_by="keyword", remote_only=True,
+    "Remote.co", "html", remote_co, describe=tx.strip, cards=cards.remote_co, dedup="url", cap_by="keyword", remote_only=True,
     filters_salary=False, keep=lambda r: (r.text("title") != "") | (r.text("url") != ""),
     searched=lambda r: [r.text("title"), r.text("company"), r.text("description")]))
 
@@ -476,7 +476,7 @@ def govuk(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "GOV.UK Find a Job", "html", govuk, cards=cards.govuk, dedup="all", cap_by="keyword", filters_remote="none",
+    "GOV.UK Find a Job", "html", govuk, describe=tx.strip, cards=cards.govuk, dedup="all", cap_by="keyword", filters_remote="none",
     filters_salary=False, searched=lambda r: [r.text("title"), r.text("company"), r.text("location")]))
 
 
@@ -493,7 +493,7 @@ def linkedin_direct(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "LinkedIn (Direct)", "html", linkedin_direct, cards=cards.direct, dedup="url", cap_by="keyword",
+    "LinkedIn (Direct)", "html", linkedin_direct, describe=tx.strip, cards=cards.direct, dedup="url", cap_by="keyword",
     filters_remote="remote", filters_salary=False, keep=lambda r: links.is_listing_link(r.text("url"))))
 
 
@@ -510,7 +510,7 @@ def jobspy(r: Item, p: SearchParams) -> dict[str, Column]:
     label = F.when(site != "", F.concat(F.lit("JobSpy ("), tx.title_case(site), F.lit(")"))).otherwise("JobSpy")
     return {
         "title": r.text("title"), "company": r.first("company_name", "company"), "location": r.text("location"),
-        "description": tx.cap_text(clean_html(r.text("description")), 5000), "url": r.first("job_url", "job_url_direct"),
+        "description": r.text("description"), "url": r.first("job_url", "job_url_direct"),
         "source": label, "remote": cl.remote_flag(r.flag("is_remote")),
         "salary_min": r.number("min_amount"), "salary_max": r.number("max_amount"),
         "salary_currency": tx.first_nonempty(r.raw("currency"), F.lit("USD")),
@@ -519,6 +519,10 @@ def jobspy(r: Item, p: SearchParams) -> dict[str, Column]:
     }
 
 
-register_feed(FeedSpec("JobSpy", "table", jobspy, dedup="url", cap_by="keyword", place_is_remote=True))
-register_feed(FeedSpec("LinkedIn", "table", jobspy, dedup="url", cap_by="keyword", relabel="LinkedIn", place_is_remote=True,
+def _short_html(c: Column) -> Column:
+    return tx.cap_text(clean_html(c), 5000)
+
+
+register_feed(FeedSpec("JobSpy", "table", jobspy, describe=_short_html, dedup="url", cap_by="keyword", place_is_remote=True))
+register_feed(FeedSpec("LinkedIn", "table", jobspy, describe=_short_html, dedup="url", cap_by="keyword", relabel="LinkedIn", place_is_remote=True,
                        keep=lambda r: F.lower(r.text("site")) == "linkedin"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from boardlake.functions import links, money, text as tx
+from boardlake.functions.html import clean_html
 from boardlake.operators import dedup as dd, predicates as pr
 from boardlake.schema import LISTING_COLUMNS
 
@@ -108,6 +109,7 @@ class FeedSpec:
     filters_remote: str = "both"                 # wishes honoured: both | remote | none
     place_is_remote: bool = False                # a location saying "remote" counts too
     filters_salary: bool = True
+    describe: Callable[[Column], Column] = clean_html  # raw description to the stored one
     cards: Callable[[Column], Column] | None = None
     relabel: str | None = None                   # source shown, set after the id is made
     options: dict = field(default_factory=dict)
@@ -176,8 +178,17 @@ def _default(name: str) -> Column:
     return F.lit("Unknown" if name == "remote" else "")
 
 
+def _described(rows: DataFrame, spec: FeedSpec) -> DataFrame:
+    return rows.withColumn("description", tx.strip(spec.describe(F.col("description"))))
+
+
 def map_feed(items: DataFrame, spec: FeedSpec, p: SearchParams = SearchParams()) -> DataFrame:
     """Items to LISTING rows plus seq, keyword and (where keywords apply) searched text."""
+    return _described(_mapped(items, spec, p), spec)
+
+
+def _mapped(items: DataFrame, spec: FeedSpec, p: SearchParams) -> DataFrame:
+    """``map_feed`` with descriptions still as they landed."""
     item = Item(struct=spec.layout != "json")
     if spec.keep is not None:
         items = items.filter(spec.keep(item))
@@ -186,7 +197,6 @@ def map_feed(items: DataFrame, spec: FeedSpec, p: SearchParams = SearchParams())
     named = {c: known.get(c, _default(c)) for c in LISTING_COLUMNS if c not in ("job_id", "date_scraped")}
     for c in ("salary_min", "salary_max"):
         named[c] = money.stored_salary(named[c]).try_cast("decimal(12,2)")
-    named["description"] = tx.strip(named["description"])
     searched = F.concat_ws(" ", *spec.searched(item)) if spec.searched else F.lit(None).cast("string")
     rows = items.select(
         "seq", "keyword", item.landed.cast("timestamp_ntz").alias("date_scraped"),
@@ -200,8 +210,13 @@ def map_feed(items: DataFrame, spec: FeedSpec, p: SearchParams = SearchParams())
 
 
 def ingest(items: DataFrame, spec: FeedSpec, p: SearchParams, as_of: Column | None = None) -> DataFrame:
-    """Listings of one feed that a search keeps."""
-    rows = map_feed(items, spec, p)
+    """Listings of one feed that a search keeps. Descriptions are cleaned last, so that
+    Python parses HTML only for rows that passed the filters, first-wins and caps."""
+    return _described(_kept(items, spec, p, as_of), spec)
+
+
+def _kept(items: DataFrame, spec: FeedSpec, p: SearchParams, as_of: Column | None) -> DataFrame:
+    rows = _mapped(items, spec, p)
     if spec.searched and p.keywords:
         rows = rows.filter(pr.matches_keywords(F.col("searched"), list(p.keywords)))
     if spec.filters_remote == "both" or p.remote == spec.filters_remote.title():
