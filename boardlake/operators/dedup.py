@@ -2,33 +2,48 @@
 
 All are ``row_number() <= n`` over an explicit arrival order. Spark turns that into
 WindowGroupLimit: each map task keeps at most n rows per key before the shuffle, so a
-key holding a third of all rows still sends only n rows per task.
+key holding a third of all rows still sends only n rows per task. Keys must not be NULL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boardlake.session import scratch_dir
+
 # Largest n for which Spark limits groups before the shuffle.
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows per key. Above Spark's group-limit threshold the same limit is
-    taken per (key, salt) first, so that no task ever sorts a whole hot group."""
-    spark = df.sparkSession
-    limit = int(spark.conf.get(GROUP_LIMIT_CONF, "1000"))
+    """The first n rows per key. An n above Spark's group-limit threshold takes the way of
+    ``_first_many``."""
+    limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
     if n > limit:
-        w = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = (
-            df.withColumn("__salt", F.spark_partition_id())
-            .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
-            .drop("__salt", "__rn")
-        )
+        return _first_many(df, keys, order, n)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def _first_many(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """Large caps without a whole group in one task: rows are cut into even ranges of (key,
+    order) and kept as a table (a job runs here), so that a hot key spans many ranges. A
+    row's place is the size of its key's earlier ranges plus its place in its own range."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "cap")
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    table = spark.read.parquet(path)
+    slot = [*keys, "__range"]
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = table.groupBy(*slot).agg(F.count(F.lit(1)).alias("__size"))
+    starts = sizes.select(*slot, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    starts = starts.filter(F.col("__before") < n)
+    place = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
+    rows = table.join(starts, slot).withColumn("__place", F.col("__before") + place)
+    return rows.filter(F.col("__place") <= n).select(*df.columns)
+
+
 def dedup_first(df: DataFrame, keys: list[str], seq: str, blank_ok: str | None = None) -> DataFrame:
     """First row per key in arrival order. Rows whose ``blank_ok`` column is '' have no
     key and are all kept."""

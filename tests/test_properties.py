@@ -32,6 +32,8 @@ def test_cap_above_group_limit_threshold(spark):
     df = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise("b").alias("source"))
     got = dd.cap(df.repartition(5), 1200, ["source"], "seq").groupBy("source").agg(F.count("*").alias("n"), F.max("seq").alias("last")).collect()
     assert {(r["source"], r["n"], r["last"]) for r in got} == {("hot", 1200, 3597), ("b", 1200, 1799)}
+    newest = dd.first_rows(df.repartition(5), ["source"], [F.col("seq").desc()], 1500).groupBy("source").agg(F.count("*").alias("n"), F.min("seq").alias("last")).collect()
+    assert {(r["source"], r["n"], r["last"]) for r in newest} == {("hot", 1500, 501), ("b", 1500, 2750)}
 
 
 def test_cap_per_keyword_against_loop(spark):
