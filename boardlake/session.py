@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,15 +21,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
 
-    The cluster names a shared folder there, so tables and stream checkpoints
-    written below it outlive any executor. Only a local master may fall back to
-    a temporary folder of its own.
+    Both are shared by driver and executors, so tables and stream checkpoints written
+    below outlive any executor. The folder goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="boardlake-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
