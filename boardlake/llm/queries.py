@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from boardlake.llm import packing, quality, token_files, url_filter  # noqa: F401  (registers queries)
+from boardlake.llm import packing, quality, token_files, toxicity, url_filter  # noqa: F401  (registers queries)
 from boardlake.llm.base import ORACLE, QUERIES  # noqa: F401
