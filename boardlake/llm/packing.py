@@ -23,7 +23,7 @@ from boardlake.llm.tokens import END_ID, encoder
 
 LIMIT = 1024
 #: Pieces of one length are ranked in groups of about this many, however common the length is.
-RANK_GROUP = 50_000
+RANK_GROUP = 2_000
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:

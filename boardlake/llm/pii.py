@@ -28,12 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boardlake.llm.base import cut, pieces, query, strings, table
+from boardlake.llm.base import bloom, cut, in_bloom, pieces, query, strings, table
 from boardlake.llm.words import Words, lowered, split_words, splitmix
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, CONTEXTS, DISCLOSES = 5, 3, 0.9
-BLOOM_BITS = 23
 BROADCAST_TERMS = 2_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,28 +149,9 @@ def nearby(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "entity long, kind int, term long, context long")
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """Bloom filter of 2^BLOOM_BITS bits over a column of terms, as 64-bit numbers; each takes two places."""
-    places = F.array(*(F.shiftrightunsigned(F.col("term"), 64 - BLOOM_BITS - k * 20).bitwiseAND((1 << BLOOM_BITS) - 1) for k in (0, 1)))
-    rows = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << BLOOM_BITS - 6, np.uint64)
-    for r in rows:
-        out[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
-    return out
-
-
-def _in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(h), bool)
-    for k in (0, 1):
-        p = h >> np.uint64(64 - BLOOM_BITS - k * 20) & np.uint64((1 << BLOOM_BITS) - 1)
-        hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return hit
-
-
 def term_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): in how many documents each wanted term is, over all documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +159,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> D
             held: list[np.ndarray] = []
             for lo, hi in pieces(texts):
                 w, h = terms(texts[lo:hi])
-                hit = _in_bits(bits.value, h)
+                hit = in_bloom(bits.value, h)
                 pair = np.unique(np.stack([w.text[hit].astype(np.uint64), h[hit]], axis=1), axis=0) if hit.any() else np.empty((0, 2), np.uint64)
                 held.append(pair[:, 1])
             t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -220,7 +200,7 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
         rows = sorted((r["term"] & (1 << 64) - 1, r["disclosed"] >= 1) for r in revealing.collect())
         shared = context.broadcast((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], bool)))
     else:
-        shared = context.broadcast((_bits(revealing), None))
+        shared = context.broadcast((bloom(revealing, "term"), None))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, whole = shared.value
@@ -237,7 +217,7 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
                     hit = np.flatnonzero(known[at] == h) if len(known) else np.empty(0, np.int64)
                     told = whole[at[hit]] if len(known) else np.empty(0, bool)
                 else:
-                    hit = np.flatnonzero(_in_bits(known, h))
+                    hit = np.flatnonzero(in_bloom(known, h))
                     told = np.zeros(len(hit), bool)
                 own = np.searchsorted(w.text[hit], np.arange(hi - lo + 1))
                 for i in range(hi - lo):
