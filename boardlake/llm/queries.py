@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from boardlake.llm import embedding_dedup, jaccard, packing, pii, quality, token_files, toxicity, url_filter  # noqa: F401  (registers queries)
+from boardlake.llm import edits, embedding_dedup, jaccard, packing, pieces, pii, quality, token_files, toxicity, url_filter  # noqa: F401  (registers queries)
 from boardlake.llm.base import ORACLE, QUERIES  # noqa: F401
