@@ -147,14 +147,14 @@ def ranking(tokens: DataFrame) -> np.ndarray:
 
 
 def write_files(tokens: DataFrame, folder: str) -> DataFrame:
-    """Token files of a stored table (doc_id, n, ids) in folder; returns (file, path, docs, ids), one row per file.
+    """Token files of a stored table (doc_id, n, ids) in folder; returns (file, name, docs, ids), one row per file.
 
     Files are numbered in the order of document ids. A task that is run again writes a file of another name: the
     returned rows tell which files count.
     """
     ids = ranking(tokens)
     if not len(ids):
-        return tokens.sparkSession.createDataFrame([], "file int, path string, docs long, ids long")
+        return tokens.sparkSession.createDataFrame([], "file int, name string, docs long, ids long")
     rank_of = np.zeros(int(ids.max()) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = tokens.sparkSession.sparkContext.broadcast((ids, rank_of))  # bounded by the vocabulary
