@@ -14,8 +14,8 @@ from boardlake.session import scratch_dir
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Size of Bloom filters, whatever goes into them: 2^23 bits are 1 MB.
-BLOOM_BITS = 23
+#: Largest Bloom filter: 2^27 bits are 16 MB.
+BLOOM_BITS = 27
 #: Characters of text that a Python worker turns into arrays at a time.
 BATCH_CHARS = 1_000_000
 
@@ -77,21 +77,24 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def bloom(df: DataFrame, column: str) -> np.ndarray:
-    """Bloom filter over a column of 64-bit hashes, two places for each. Its size is fixed, so the driver may hold it."""
-    places = F.array(*(F.shiftrightunsigned(F.col(column), 64 - BLOOM_BITS - k * 20).bitwiseAND((1 << BLOOM_BITS) - 1) for k in (0, 1)))
-    rows = df.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << BLOOM_BITS - 6, np.uint64)
-    for r in rows:
-        out[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+def bloom(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """Bloom filter over a column of 64-bit hashes, two places for each; 12 bits a row, 2^BLOOM_BITS bits at most.
+
+    Its size is bounded whatever the input, so the driver may hold it; with more rows it lets more through.
+    """
+    size = min(BLOOM_BITS, max(16, (12 * rows).bit_length()))
+    places = F.array(*(F.shiftrightunsigned(F.col(column), 64 - size - k * 24).bitwiseAND((1 << size) - 1) for k in (0, 1)))
+    got = df.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << size - 6, np.uint64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """May these hashes be in the filter? False means no."""
-    hit = np.ones(len(h), bool)
+    size, hit = len(bits).bit_length() + 5, np.ones(len(h), bool)
     for k in (0, 1):
-        p = h >> np.uint64(64 - BLOOM_BITS - k * 20) & np.uint64((1 << BLOOM_BITS) - 1)
+        p = h >> np.uint64(64 - size - k * 24) & np.uint64((1 << size) - 1)
         hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit

@@ -6,12 +6,16 @@ the first ``prefix`` tokens of each. The orders here are independent permutation
 
 1. Under the first order, every class lists its prefix. A class with fewer than ``needed`` tokens in its prefix that any
    other class lists too has no partner. Those few that stay are read again, whole.
-2. Under each further order the classes that stayed pass the same filter again.
-3. In lists of the first order, pivots are paired with the classes of the list; a pair must then share ``needed`` prefix
-   tokens under every order before its whole sets are intersected.
+2. Under each further order the classes that stayed pass the same filter again, with longer prefixes.
+3. The classes that stay list their prefixes under an order by frequency, rare tokens first: a passage that many texts share
+   is then in no prefix, but where it is nearly all of a text. In these lists, pivots are paired with the classes of the list. A pair whose parity bitmaps differ in more
+   bits than similar sets may differ in tokens is no link; any other must share ``shared_prefix`` tokens under
+   every order before its whole sets are intersected.
+
+Bloom filters of shared tokens and of classes only keep rows out of shuffles; they have no part in a decision.
 
 Only connections matter for components: a pair within one component is not verified. Rounds pair the first class of each
-list (then 8, 64, ...) with all others of it and take it out of the list, until no list has classes of two components.
+list (then 16, 256, ...) with all others of it and take it out of the list, until no list has classes of two components.
 So a group of near copies costs as many pairs as it has members, and a list without links is still compared in full.
 Every pair of classes over the threshold is compared or connected already: no link is lost.
 
@@ -34,16 +38,19 @@ from boardlake.llm.words import split_words, splitmix
 SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Part of a set that its prefix takes, in percent; above 100 - PERCENT, so that more than one token must be shared.
-LOOSE = 25
-#: Seeds of the orders; the first is the order of the hashes themselves.
-ORDERS = (0, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
-PIVOTS = 8
+#: Orders: seed of the permutation (0: the hashes themselves), and the part of a set that its prefix takes, in percent. Above
+#: 100 - PERCENT, more than one token must be shared. The first order sees all classes, so its prefixes are short.
+ORDERS = ((0, 25), (0x2545F4914F6CDD1D, 50), (0x9E6C63D0876A9A47, 100))
+PIVOTS = 16
+#: Tokens of one in so many classes or more have a place of their own in the order by frequency: that bounds how many there are.
+FREQUENT = 10_000
+#: 64-bit numbers in the parity bitmap of a set.
+BITMAP = 32
 
 
-def prefix(n: np.ndarray) -> np.ndarray:
+def prefix(n: np.ndarray, loose: int) -> np.ndarray:
     """Tokens in the prefix of sets of n tokens."""
-    return np.where(n > 0, np.minimum(n, n * LOOSE // 100 + 1), 0)
+    return np.where(n > 0, np.minimum(n, n * loose // 100 + 1), 0)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,17 +58,17 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def shared_prefix(a: np.ndarray, b: np.ndarray, loose: int) -> np.ndarray:
     """Least number of tokens that the prefixes of similar sets of a and b tokens share, under any order."""
     o = _overlap(a, b)
-    return np.maximum(1, np.minimum(prefix(a) - (a - o), prefix(b) - (b - o)))
+    return np.maximum(1, np.minimum(prefix(a, loose) - (a - o), prefix(b, loose) - (b - o)))
 
 
-def needed(n: np.ndarray) -> np.ndarray:
+def needed(n: np.ndarray, loose: int) -> np.ndarray:
     """shared_prefix with a partner of any size, from below: it is least at either end of the possible sizes, but for rounding."""
     n = np.asarray(n, np.int64)
     small, large = -(-PERCENT * n // 100), n * 100 // PERCENT
-    return np.maximum(1, np.minimum(shared_prefix(n, small), shared_prefix(n, large)) - 2)
+    return np.maximum(1, np.minimum(shared_prefix(n, small, loose), shared_prefix(n, large, loose)) - 2)
 
 
 def _ordered(tokens: np.ndarray, seed: int) -> np.ndarray:
@@ -94,15 +101,15 @@ def _class_of(tokens: np.ndarray) -> int:
         return int(splitmix(np.array([h.sum() ^ np.bitwise_xor.reduce(h) * np.uint64(31) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """(id, n, class, prefix): size of the set, hash of the set, and its prefix under the first order; one row per document."""
+def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: tuple[int, int] = ORDERS[0]) -> DataFrame:
+    """(id, n, class, prefix): size of the set, hash of the set, and its prefix under an order; one row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
             for lo, hi in pieces(texts):
                 found = list(shingle_sets(texts[lo:hi]))
                 n = np.array([len(x) for x in found], np.int64)
-                first = [_ordered(x, orders[0])[:p] for x, p in zip(found, prefix(n).tolist(), strict=True)]
+                first = [_ordered(x, order[0])[:p] for x, p in zip(found, prefix(n, order[1]).tolist(), strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -113,24 +120,73 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, class long, prefix array<bigint>")
 
 
-def _survivors(lists: DataFrame) -> DataFrame:
-    """(class, n) of the classes with enough shared tokens; lists: (token, class, n)."""
+def _lists(rows: DataFrame, order: tuple[int, int] | None, tokens: np.ndarray | None = None, classes: np.ndarray | None = None,
+           frequent: tuple[np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
+    """(token, class, n): prefixes of rows (class, n, sets) under an order, or the lists as they are.
+
+    frequent: (tokens, ranks, seed) that come last in the order, by rank; tokens ascending, under the seed of their order.
+
+    tokens, classes: Bloom filters of those that matter; others may be left out here, before anything is shuffled.
+    """
+    context = rows.sparkSession.sparkContext
+    token_bits, class_bits, late = (context.broadcast(b) for b in (tokens, classes, frequent))
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        if late.value is None or not len(late.value[0]):
+            return _ordered(x, order[0])
+        known, ranks, seed = late.value
+        named = x if seed == 0 else splitmix(x ^ np.uint64(seed))
+        at = np.minimum(np.searchsorted(known, named), len(known) - 1)
+        rank = np.where(known[at] == named, ranks[at], np.uint64(0))
+        return np.sort(rank << np.uint64(58) | splitmix(x ^ np.uint64(order[0])) >> np.uint64(6))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if class_bits.value is not None:
+                batch = batch.filter(pa.array(in_bloom(class_bits.value, batch.column(0).to_numpy().view(np.uint64))))
+            if not batch.num_rows:
+                continue
+            n, lists = batch.column(1).to_numpy(), batch.column(2)
+            parts = [x.values.to_numpy().view(np.uint64) for x in lists]
+            if order is not None:
+                parts = [ordered(x)[:p] for x, p in zip(parts, prefix(n, order[1]).tolist(), strict=True)]
+            size, flat = np.array([len(x) for x in parts]), np.concatenate(parts)
+            owner = np.repeat(np.arange(len(n)), size)
+            if token_bits.value is not None:
+                hit = in_bloom(token_bits.value, flat)
+                flat, owner = flat[hit], owner[hit]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner]), pa.array(n[owner])], names=["token", "class", "n"])
+
+    return rows.mapInArrow(run, "token long, class long, n long")
+
+
+def _shared(rows: DataFrame, order: tuple[int, int] | None, classes: np.ndarray | None = None) -> DataFrame:
+    """(token, rows) of the tokens that prefixes of two classes or more hold."""
     # a token is shared if its least class is not its greatest: copies of a class need no count, and each task sums first
-    shared = lists.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
-    counts = lists.join(shared, "token").groupBy("class", "n").agg(F.count_distinct("token").alias("k"))
+    every = _lists(rows, order, classes=classes).groupBy("token").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("rows"))
+    return cut(every.where("lo < hi").select("token", "rows"), "shared")
+
+
+def _survivors(rows: DataFrame, shared: DataFrame, order: tuple[int, int] | None, loose: int, classes: np.ndarray | None = None) -> DataFrame:
+    """(class) of the classes whose prefixes hold enough shared tokens."""
+    shared = shared.select("token")
+    few = _lists(rows, order, bloom(shared, "token", shared.count()), classes)
+    counts = few.join(shared, "token").groupBy("class", "n").agg(F.count_distinct("token").alias("k"))
     small, large = F.ceil(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT)
 
     def both(b):  # noqa: ANN001, ANN202
         o = F.ceil((F.col("n") + b) * PERCENT / (100 + PERCENT))
-        take = lambda m: F.least(m, F.floor(m * LOOSE / 100) + 1)
+        take = lambda m: F.least(m, F.floor(m * loose / 100) + 1)
         return F.least(take(F.col("n")) - (F.col("n") - o), take(b) - (b - o))
 
-    return counts.where(F.col("k") >= F.greatest(F.lit(1), F.least(both(small), both(large)) - 2)).select("class", "n")
+    return counts.where(F.col("k") >= F.greatest(F.lit(1), F.least(both(small), both(large)) - 2)).select("class")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(class, n, tokens) of wanted classes (id, class), from their texts again. A Bloom filter spares most other texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64(id_col).alias("h")), "h"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64(id_col).alias("h")), "h", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,51 +205,75 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return again.join(wanted, [id_col, "class"]).select("class", F.size("tokens").cast("long").alias("n"), "tokens").dropDuplicates(["class"])
 
 
-def _prefix_lists(whole: DataFrame, seed: int) -> DataFrame:
-    """(token, class, n): prefixes under the order of a seed."""
+def bitmaps(whole: DataFrame) -> DataFrame:
+    """(class, bits): every token of the set flips one bit. Two bitmaps differ in no more bits than the sets in tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            values, ends = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
-            size = prefix(n)
-            parts = [_ordered(values[a:b], seed)[:p] for a, b, p in zip(ends, ends[1:], size, strict=False)]
-            tokens = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(n, size))], names=["token", "class", "n"])
+            out = np.zeros((batch.num_rows, BITMAP * 64), np.uint8)
+            for row, x in zip(out, batch.column(1), strict=True):
+                row[:] = np.bincount((x.values.to_numpy().view(np.uint64) >> np.uint64(20)) % np.uint64(BITMAP * 64), minlength=BITMAP * 64) & 1
+            bits = np.packbits(out, axis=1, bitorder="little").view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * BITMAP), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["class", "bits"])
+
+    return whole.select("class", "tokens").mapInArrow(run, "class long, bits array<bigint>")
+
 
-    return whole.select("class", "n", "tokens").mapInArrow(run, "token long, class long, n long")
+def may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (u, v, total: tokens of both) whose bitmaps differ in no more bits than similar sets may differ in tokens."""
+    x, y = (maps.select(F.col("class").alias(c), F.col("bits").alias(f"{c}_bits")) for c in ("u", "v"))
+    differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    most = F.col("total") - 2 * F.ceil(F.col("total") * PERCENT / (100 + PERCENT))
+    return pairs.join(x, "u").join(y, "v").where(differ <= most).select("u", "v")
 
 
-def similar(x: np.ndarray, y: np.ndarray, orders: tuple[int, ...] = ORDERS) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, orders: tuple[tuple[int, int], ...] = ORDERS) -> bool:
     """Are two ascending sets similar? Filters of all orders first, then the whole sets."""
     a, b = len(x), len(y)
     if min(a, b) * 100 < max(a, b) * PERCENT:
         return False
-    least = int(shared_prefix(np.int64(a), np.int64(b)))
-    p, q = int(prefix(np.int64(a))), int(prefix(np.int64(b)))
-    for seed in orders:
-        if len(np.intersect1d(_ordered(x, seed)[:p], _ordered(y, seed)[:q], assume_unique=True)) < least:
+    for seed, loose in orders:
+        p, q = int(prefix(np.int64(a), loose)), int(prefix(np.int64(b), loose))
+        shared = np.intersect1d(_ordered(x, seed)[:p], _ordered(y, seed)[:q], assume_unique=True)
+        if len(shared) < int(shared_prefix(np.int64(a), np.int64(b), loose)):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= PERCENT * (a + b - both)
 
 
-def verify(pairs: DataFrame, whole: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """The pairs (u, v) of classes that are similar."""
+def verify(pairs: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
+    """The pairs (u, v) of classes that are similar; pairs: a stored table."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("class"))
+    bits = pairs.sparkSession.sparkContext.broadcast(bloom(nodes, "class", 2 * pairs.count()))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), orders)
                     for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (whole.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("u", "v"))
+    few = whole.select("class", "tokens").mapInArrow(wanted, "class long, tokens array<bigint>")
+    x, y = (few.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("u", "v"))
     return pairs.join(x, "u").join(y, "v").select("u", "v", "u_tokens", "v_tokens").mapInArrow(run, "u long, v long")
 
 
-def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def _frequent(shared: DataFrame, classes: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, ranks, seed) of frequent tokens, by the power of two of their rows; FREQUENT times the mean size of a set at most."""
+    rows = shared.where(F.col("rows") >= max(4, classes // FREQUENT)).select("token", F.floor(F.log2("rows")).alias("rank"))
+    got = rows.toArrow()
+    tokens, ranks = got.column("token").to_numpy().view(np.uint64), got.column("rank").to_numpy().astype(np.uint64)
+    by = np.argsort(tokens)
+    return tokens[by], ranks[by], seed
+
+
+def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
     """(u, v): verified links that connect all similar classes; lists: (token, class, n) of the first order, a stored table."""
     links = done = None
-    pivots = 1
+    pivots, maps = 1, cut(bitmaps(whole), "bitmaps")
     lists = lists.withColumn("part", F.col("class"))
     while True:
         mixed = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
@@ -205,12 +285,14 @@ def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[int, ...] = OR
         p = first.select("token", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "part")))
         fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * PERCENT
         pairs = p.join(lists, "token").where((F.col("part") != F.col("p_part")) & fits)
-        pairs = pairs.select(F.greatest("class", "p_class").alias("u"), F.least("class", "p_class").alias("v")).distinct()
+        pairs = pairs.select(F.greatest("class", "p_class").alias("u"), F.least("class", "p_class").alias("v"),
+                             (F.col("n") + F.col("p_n")).alias("total")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = cut(verify(pairs, whole, orders), "similar")
+        found = cut(verify(cut(may_be_similar(pairs, maps), "likely"), whole, orders), "similar")
         links = found if links is None else links.unionByName(found)
+        pairs = pairs.select("u", "v")
         done = pairs if done is None else done.unionByName(pairs)
         rest = lists.join(first.select("token", "class"), ["token", "class"], "left_anti").drop("part")
         part = components(links)
@@ -220,18 +302,21 @@ def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[int, ...] = OR
     return links if links is not None else lists.select(F.col("class").alias("u"), F.col("class").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id that links reach)."""
-    each = cut(sets(docs, id_col, text_col, orders), "sets")
+    each = cut(sets(docs, id_col, text_col, orders[0]), "sets")
     known = each.where(F.col(id_col).isNotNull() & (F.col("n") > 0))
-    lists = known.select(F.explode("prefix").alias("token"), "class", "n")
-    alive = cut(_survivors(lists), "alive")
-    owners = known.join(alive.select("class"), "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col))
+    listed = known.select("class", "n", "prefix")
+    alive = cut(_survivors(listed, _shared(listed, None), None, orders[0][1]), "alive")
+    owners = known.select("class", id_col).join(alive, "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col))
     whole = cut(_whole_sets(docs, cut(owners, "owners"), id_col, text_col), "whole-sets")
-    for seed in orders[1:]:
-        alive = cut(_survivors(_prefix_lists(whole, seed)), "alive")
-        whole = cut(whole.join(alive.select("class"), "class", "left_semi"), "whole-sets")
-    links = class_links(_prefix_lists(whole, orders[0]), whole, orders)
+    read, bits = whole.select("class", "n", "tokens"), None
+    for order in orders[1:]:
+        shared = _shared(read, order, bits)
+        alive = cut(_survivors(read, shared, order, order[1], bits), "alive")
+        bits = bloom(alive, "class", alive.count())
+    links = class_links(_lists(read, orders[0], classes=bits, frequent=_frequent(shared, whole.count(), orders[-1][0])), whole, orders)
     least = known.groupBy("class").agg(F.min(id_col).alias("_least"))
     part = components(links)
     least = least.join(part, least["class"] == part["node"], "left").select(

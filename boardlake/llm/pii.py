@@ -151,7 +151,7 @@ def nearby(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def term_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): in how many documents each wanted term is, over all documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "term"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "term", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
         rows = sorted((r["term"] & (1 << 64) - 1, r["disclosed"] >= 1) for r in revealing.collect())
         shared = context.broadcast((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], bool)))
     else:
-        shared = context.broadcast((bloom(revealing, "term"), None))
+        shared = context.broadcast((bloom(revealing, "term", revealing.count()), None))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, whole = shared.value
