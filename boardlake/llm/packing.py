@@ -26,14 +26,15 @@ LIMIT = 1024
 RANK_GROUP = 2_000
 
 
-def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, sequence of the first rank, offset) of best-fit decreasing over counts of lengths.
+def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset, each) of best-fit decreasing over counts of lengths.
 
-    Each piece goes into the open sequence with the least room that fits it, or opens one. Ranks of a length are
-    0, 1, ...; piece first rank + k goes to sequence of the first rank + k at that offset.
+    Each piece goes into the open sequence with the least room that fits it, or opens one. Ranks of a length are 0, 1, ...;
+    ``each`` of them in turn share a sequence: piece first rank + k goes to first sequence + k // each, at
+    offset + k % each * length.
     """
     room: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, count)
-    made: list[tuple[int, int, int, int, int]] = []
+    made: list[tuple[int, int, int, int, int, int]] = []
     opened = 0
     for length in sorted(counts, reverse=True):
         if not 0 < length <= limit:
@@ -42,22 +43,22 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int
         while rank < end:
             fit = min((r for r in room if r >= length), default=None)
             if fit is None:
-                # full sequences of this length alone first; what is left of it fits below
-                n = max(1, (end - rank) // (limit // length))
-                fit, run = limit, (opened, n)
+                fit, n = limit, -(-(end - rank) // (limit // length))
+                first = opened
                 opened += n
             else:
-                run = room[fit].pop()
+                first, n = room[fit].pop()
                 if not room[fit]:
                     del room[fit]
-            first, n = run
-            take = min(n, end - rank)
-            made.append((length, rank, rank + take, first, limit - fit))
-            rank += take
-            if take < n:
-                room.setdefault(fit, []).append((first + take, n - take))
-            if fit > length:
-                room.setdefault(fit - length, []).append((first, take))
+            # what has taken a piece has the least room: the next piece follows it as long as it fits
+            each = min(fit // length, end - rank)
+            whole = min(n, (end - rank) // each)
+            made.append((length, rank, rank + whole * each, first, limit - fit, each))
+            rank += whole * each
+            if whole < n:
+                room.setdefault(fit, []).append((first + whole, n - whole))
+            if fit > each * length:
+                room.setdefault(fit - each * length, []).append((first, whole))
     return made
 
 
@@ -102,13 +103,14 @@ def take_slots(pieces: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFr
     ranked = ranked.withColumn("_rank", rank).join(base.drop("count"), ["length", "_group"]).withColumn(
         "_rank", F.col("_rank") + F.col("_base"))
     slots = spark.createDataFrame(
-        plan(sizes, limit), "length long, _from long, _to long, _first long, offset long")
-    at = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_first", "offset"))).alias("_runs"))
+        plan(sizes, limit), "length long, _from long, _to long, _first long, offset long, _each long")
+    at = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_first", "offset", "_each"))).alias("_runs"))
     # the plan's runs of a length lie in ascending, gapless order of ranks: one equi-join, then the run that holds the rank
     run = F.filter("_runs", lambda r: (r["_from"] <= F.col("_rank")) & (F.col("_rank") < r["_to"]))[0]
+    nth = F.col("_rank") - F.col("_run._from")
     return ranked.join(F.broadcast(at), "length").withColumn("_run", run).select(
-        *pieces.columns, (F.col("_run._first") + F.col("_rank") - F.col("_run._from")).alias("sequence_id"),
-        F.col("_run.offset").alias("offset"))
+        *pieces.columns, (F.col("_run._first") + F.floor(nth / F.col("_run._each"))).alias("sequence_id"),
+        (F.col("_run.offset") + nth % F.col("_run._each") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
