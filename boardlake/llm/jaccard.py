@@ -8,7 +8,8 @@ the first ``prefix`` tokens of each. The orders here are independent permutation
    other class lists too has no partner. Those few that stay are read again, whole.
 2. Under each further order the classes that stayed pass the same filter again, with longer prefixes.
 3. The classes that stay list their prefixes under an order by frequency, rare tokens first: a passage that many texts share
-   is then in no prefix, but where it is nearly all of a text. In these lists, pivots are paired with the classes of the list. A pair whose parity bitmaps differ in more
+   is then in no prefix, but where it is nearly all of a text. In these lists, pivots are paired with the classes of the
+   list, if their places in both prefixes leave enough tokens to share. A pair whose parity bitmaps differ in more
    bits than similar sets may differ in tokens is no link; any other must share ``shared_prefix`` tokens under
    every order before its whole sets are intersected.
 
@@ -122,7 +123,7 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
 def _lists(rows: DataFrame, order: tuple[int, int] | None, tokens: np.ndarray | None = None, classes: np.ndarray | None = None,
            frequent: tuple[np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
-    """(token, class, n): prefixes of rows (class, n, sets) under an order, or the lists as they are.
+    """(token, class, n, at: place in the prefix): prefixes of rows (class, n, sets) under an order, or the lists as they are.
 
     frequent: (tokens, ranks, seed) that come last in the order, by rank; tokens ascending, under the seed of their order.
 
@@ -152,13 +153,15 @@ def _lists(rows: DataFrame, order: tuple[int, int] | None, tokens: np.ndarray |
                 parts = [ordered(x)[:p] for x, p in zip(parts, prefix(n, order[1]).tolist(), strict=True)]
             size, flat = np.array([len(x) for x in parts]), np.concatenate(parts)
             owner = np.repeat(np.arange(len(n)), size)
+            at = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
             if token_bits.value is not None:
                 hit = in_bloom(token_bits.value, flat)
-                flat, owner = flat[hit], owner[hit]
+                flat, owner, at = flat[hit], owner[hit], at[hit]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner]), pa.array(n[owner])], names=["token", "class", "n"])
+                [pa.array(flat.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner]), pa.array(n[owner]), pa.array(at)],
+                names=["token", "class", "n", "at"])
 
-    return rows.mapInArrow(run, "token long, class long, n long")
+    return rows.mapInArrow(run, "token long, class long, n long, at int")
 
 
 def _shared(rows: DataFrame, order: tuple[int, int] | None, classes: np.ndarray | None = None) -> DataFrame:
@@ -202,7 +205,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("_h"), id_col, text_col)
     again = read.mapInArrow(run, f"{id_col} {kind}, class long, tokens array<bigint>")
-    return again.join(wanted, [id_col, "class"]).select("class", F.size("tokens").cast("long").alias("n"), "tokens").dropDuplicates(["class"])
+    # the class alone deals the rows out: whole sets are shuffled once for the join and for repeated ids
+    owner = wanted.select("class", F.col(id_col).alias("_owner"))
+    same = (F.col(id_col) <= F.col("_owner")) & (F.col(id_col) >= F.col("_owner"))
+    return again.join(owner, "class").where(same).select("class", F.size("tokens").cast("long").alias("n"), "tokens").dropDuplicates(["class"])
 
 
 def bitmaps(whole: DataFrame) -> DataFrame:
@@ -271,7 +277,11 @@ def _frequent(shared: DataFrame, classes: int, seed: int) -> tuple[np.ndarray, n
 
 
 def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
-    """(u, v): verified links that connect all similar classes; lists: (token, class, n) of the first order, a stored table."""
+    """(u, v): verified links that connect all similar classes; lists: (token, class, n, at) of one order.
+
+    A similar pair is made from the first token that both prefixes hold. What follows it in either set, itself included, must
+    make up the least intersection; so a passage that two texts share behind tokens of their own makes no pair.
+    """
     links = done = None
     pivots, maps = 1, cut(bitmaps(whole), "bitmaps")
     lists = lists.withColumn("part", F.col("class"))
@@ -282,8 +292,9 @@ def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int
             break
         ranked = lists.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy("class")))
         first = ranked.where(F.col("k") <= pivots).drop("k")  # kept map-side: no task sorts a whole list
-        p = first.select("token", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "part")))
-        fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * PERCENT
+        p = first.select("token", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "at", "part")))
+        left = F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at"))
+        fits = left * (100 + PERCENT) >= (F.col("n") + F.col("p_n")) * PERCENT
         pairs = p.join(lists, "token").where((F.col("part") != F.col("p_part")) & fits)
         pairs = pairs.select(F.greatest("class", "p_class").alias("u"), F.least("class", "p_class").alias("v"),
                              (F.col("n") + F.col("p_n")).alias("total")).distinct()
@@ -297,7 +308,7 @@ def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int
         rest = lists.join(first.select("token", "class"), ["token", "class"], "left_anti").drop("part")
         part = components(links)
         lists = rest.join(part, rest["class"] == part["node"], "left").select(
-            "token", "class", "n", F.coalesce("component", "class").alias("part"))
+            "token", "class", "n", "at", F.coalesce("component", "class").alias("part"))
         pivots *= PIVOTS
     return links if links is not None else lists.select(F.col("class").alias("u"), F.col("class").alias("v"))
 
@@ -316,7 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = _shared(read, order, bits)
         alive = cut(_survivors(read, shared, order, order[1], bits), "alive")
         bits = bloom(alive, "class", alive.count())
-    links = class_links(_lists(read, orders[0], classes=bits, frequent=_frequent(shared, whole.count(), orders[-1][0])), whole, orders)
+    shortest = (orders[0][0], 100 - PERCENT)
+    links = class_links(_lists(read, shortest, classes=bits, frequent=_frequent(shared, whole.count(), orders[-1][0])), whole, orders)
     least = known.groupBy("class").agg(F.min(id_col).alias("_least"))
     part = components(links)
     least = least.join(part, least["class"] == part["node"], "left").select(
