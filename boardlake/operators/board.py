@@ -55,7 +55,7 @@ class BoardParams:
             salary_min=number("salary_min", float),
             posted_in_last_days=days if days and days > 0 else None,
             region=(args.get("region") or "").strip(),
-            include_marked=str(args.get("include_not_interested", "")).lower() in ("1", "true"),
+            include_marked=str(args.get("include_not_interested", "")).lower() in ("1", "true", "yes"),
             sort_by=args.get("sort_by") or "date_posted",
             order="asc" if str(args.get("order", "")).lower() == "asc" else "desc",
             page=max(1, number("page", int) or 1),

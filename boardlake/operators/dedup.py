@@ -2,11 +2,13 @@
 
 All are ``row_number() <= n`` over an explicit arrival order. Spark turns that into
 WindowGroupLimit: each map task keeps at most n rows per key before the shuffle, so a
-key holding a third of all rows still sends only n rows per task. Keys must not be NULL.
+key holding a third of all rows still sends only n rows per task. Rows whose key is NULL are a
+group like any other.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boardlake.session import scratch_dir
@@ -30,7 +32,7 @@ def _first_many(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     order) and kept as a table (a job runs here), so that a hot key spans many ranges. A
     row's place is the size of its key's earlier ranges plus its place in its own range."""
     spark = df.sparkSession
-    path = scratch_dir(spark, "cap")
+    path = f"{scratch_dir(spark, 'cap')}/rows"
     ranged = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
     ranged.write.parquet(path)
     table = spark.read.parquet(path)
@@ -40,7 +42,9 @@ def _first_many(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     starts = sizes.select(*slot, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
     starts = starts.filter(F.col("__before") < n)
     place = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
-    rows = table.join(starts, slot).withColumn("__place", F.col("__before") + place)
+    starts = starts.select(*[F.col(c).alias(f"__s_{c}") for c in slot], "__before")
+    same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in slot]
+    rows = table.join(starts, same).withColumn("__place", F.col("__before") + place)
     return rows.filter(F.col("__place") <= n).select(*df.columns)
 
 
@@ -69,8 +73,8 @@ def cap_per_keyword(df: DataFrame, hits: str, n: int, n_keywords: int, source: s
     that no earlier keyword took, and a link counts once.
 
     ``hits`` holds the positions of the keywords a row matches. Earlier keywords can take
-    at most n*j links, so keyword j needs to see only its first n*(j+1): that bound is cut
-    with window group limits, and the serving order then runs on a few rows per source.
+    at most n*j links, so no keyword needs to see more than its first n*n_keywords: that bound
+    is cut first, and the serving order then runs once per source on keys and numbers alone.
     Output: the columns of ``df`` with ``keyword`` in place of ``hits``.
     """
     # rows without a link are never duplicates: their arrival number stands in for it
@@ -78,18 +82,23 @@ def cap_per_keyword(df: DataFrame, hits: str, n: int, n_keywords: int, source: s
     rows = df.withColumn("keyword", F.explode(hits)).drop(hits).withColumn(
         "__key", F.when(F.col(url) != "", F.col(url)).otherwise(own))
     rows = first_rows(rows, [source, "keyword", "__key"], [F.col(seq)])
-    per_kw = []
-    for j in range(n_keywords):
-        per_kw.append(first_rows(rows.filter(F.col("keyword") == j), [source], [F.col(seq)],
-                                 n * (j + 1)))
-    taken = None
-    for j, candidates in enumerate(per_kw):
-        if taken is not None:
-            candidates = candidates.join(taken.select(source, "__key"), [source, "__key"],
-                                         "left_anti").select(*rows.columns)
-        mine = first_rows(candidates, [source], [F.col(seq)], n)
-        taken = mine if taken is None else taken.unionByName(mine)
-    return taken.drop("__key")
+    near = first_rows(rows, [source, "keyword"], [F.col(seq)], n * n_keywords)
+
+    def serve(group: pd.DataFrame) -> pd.DataFrame:
+        taken, kept = set(), []
+        for _, mine in group.sort_values(["keyword", "seq"]).groupby("keyword"):
+            free = mine[~mine["key"].isin(taken)].head(n)
+            taken.update(free["key"])
+            kept.append(free[["source", "keyword", "seq"]])
+        return pd.concat(kept)
+
+    narrow = near.select(F.col(source).alias("source"), "keyword", F.col("__key").alias("key"), F.col(seq).alias("seq"))
+    types = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    served = narrow.groupBy("source").applyInPandas(
+        serve, f"source {types['source']}, keyword {types['keyword']}, seq {types['seq']}")
+    served = served.select(*[F.col(c).alias(f"__s_{c}") for c in served.columns])
+    same = [F.col(source).eqNullSafe(F.col("__s_source")), F.col("keyword") == F.col("__s_keyword"), F.col(seq) == F.col("__s_seq")]
+    return near.join(served, same, "left_semi").drop("__key")
 
 
 def superseded(df: DataFrame, rules: DataFrame, feed: str = "source") -> DataFrame:

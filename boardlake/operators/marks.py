@@ -28,17 +28,14 @@ def mark_state(log: DataFrame, listings: DataFrame | None = None) -> DataFrame:
         .filter(F.col("removed_seq").isNull() | (F.col("seq") > F.col("removed_seq")))
         .drop("removed_seq")
     )
-    added = alive.filter(is_("add")).groupBy(*KEY).agg(
-        F.min(F.struct("seq", "ts", "notes")).alias("a")
-    )
-    noted = (
-        alive.filter(is_("note")).join(added, KEY)
-        .filter(F.col("seq") > F.col("a.seq"))
-        .groupBy(*KEY).agg(F.max(F.struct("seq", "notes")).alias("n"))
-    )
-    return added.join(noted, KEY, "left").select(
+    # the last note counts if it comes after the first add: an earlier one had no mark to write on
+    state = alive.groupBy(*KEY).agg(
+        F.min(F.when(is_("add"), F.struct("seq", "ts", "notes"))).alias("a"),
+        F.max(F.when(is_("note"), F.struct("seq", "notes"))).alias("n"),
+    ).filter(F.col("a").isNotNull())
+    return state.select(
         *KEY, F.col("a.ts").alias("since"),
-        F.when(F.col("n").isNotNull(), F.col("n.notes")).otherwise(F.col("a.notes")).alias("notes"),
+        F.when(F.col("n.seq") > F.col("a.seq"), F.col("n.notes")).otherwise(F.col("a.notes")).alias("notes"),
     )
 
 
@@ -100,9 +97,10 @@ def applications(listings: DataFrame, state: DataFrame) -> DataFrame:
 def changelog_state(log: DataFrame, key: str) -> DataFrame:
     """Current rows of a table logged as (key, op, ts, seq, ...): the last entry per key
     wins, deleted keys vanish, created_at is the first entry, updated_at the last."""
-    born = log.groupBy(key).agg(F.min("ts").alias("created_at"))
-    last = latest_by(log, [key], ["seq"]).filter(F.col("op") != "delete")
-    return last.join(born, key).withColumnRenamed("ts", "updated_at").drop("op", "seq")
+    rest = [c for c in log.columns if c != key]
+    rows = log.groupBy(key).agg(F.max(F.struct("seq", *[c for c in rest if c != "seq"])).alias("last"), F.min("ts").alias("created_at"))
+    rows = rows.select(key, *[F.col("last")[c].alias(c) for c in rest], "created_at").filter(F.col("op") != "delete")
+    return rows.withColumnRenamed("ts", "updated_at").drop("op", "seq")
 
 
 def single_active(log: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _slice(narrow: DataFrame, keys: list[Column], offset: int, n: int, shallow:
     that both passes see the same ranges; one count per range tells where the page lies.
     A range that is still too long is cut into ranges again."""
     spark = narrow.sparkSession
-    path = scratch_dir(spark, "page")
+    path = f"{scratch_dir(spark, 'page')}/rows"
     ranged = narrow.repartitionByRange(*keys).withColumn("range_id", F.spark_partition_id())
     ranged.write.parquet(path)
     table = spark.read.parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boardlake.functions.regions import region_labels
+from boardlake.functions.regions import REGIONS, region_labels
 from boardlake.functions.text import let
 from boardlake.operators.predicates import effective_date
 
@@ -41,7 +41,8 @@ def _salted(searches: DataFrame) -> DataFrame:
 
 def match_saved(listings: DataFrame, saved: DataFrame, as_of: Column,
                 text_cols: list[str] | None = None) -> DataFrame:
-    """(search_id, job_id) pairs that satisfy every filled-in filter of the search.
+    """(search_id, job_id) pairs that satisfy every filled-in filter of the search. As on the
+    board, an unknown region and a number of days that isn't positive filter nothing.
 
     No product of tables. Every search is filed under one anchor it requires: the
     beginning of its longest term, else its region, source or work arrangement, else '*'.
@@ -53,10 +54,10 @@ def match_saved(listings: DataFrame, saved: DataFrame, as_of: Column,
     filled = lambda n: F.coalesce(F.col(n), F.lit("")) != ""
     s = saved.select(
         "search_id", _words(F.coalesce("query", F.lit(""))).alias("terms"), "salary_min",
-        F.date_sub(as_of, F.col("posted_in_last_days")).alias("posted_after"),
+        F.date_sub(as_of, F.when(F.col("posted_in_last_days") > 0, F.col("posted_in_last_days"))).alias("posted_after"),
         *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
           for c in ("source", "remote", "job_type", "region")],
-    )
+    ).withColumn("region", F.when(F.col("region").isin(*REGIONS), F.col("region")).otherwise(""))
     with_terms, plain = s.filter(F.size("terms") > 0), s.filter(F.size("terms") == 0)
     longest = F.array_max(F.transform(
         "terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]

@@ -28,7 +28,7 @@ class SearchParams:
     job_type: str = ""
     salary_min: float | None = None
     experience_level: str = ""
-    max_results: int = 100
+    max_results: int | None = None
     posted_in_last_days: int | None = None
     country: str = "gb"
 
@@ -226,16 +226,21 @@ def _kept(items: DataFrame, spec: FeedSpec, p: SearchParams, as_of: Column | Non
         rows = rows.filter(pr.remote_filter(remote, p.remote, spec.remote_only, spec.unknown_is_remote))
     if spec.filters_salary and p.salary_min:
         rows = rows.filter(pr.salary_floor_lenient(F.col("salary_max"), p.salary_min))
-    if p.posted_in_last_days and as_of is not None:
+    if p.posted_in_last_days:
+        if as_of is None:
+            raise ValueError("posted_in_last_days needs as_of")
         rows = rows.filter(pr.posted_recently(F.col("date_posted"), F.col("date_scraped"),
                                               p.posted_in_last_days, as_of))
     rows = rows.drop("searched")
-    if spec.cap_by == "keyword" and spec.dedup != "none" and p.keywords:
+    if spec.cap_by == "keyword" and spec.dedup != "none" and p.keywords and p.max_results is not None:
         order = [k.strip() for k in p.keywords]
-        place = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("keyword")).cast("int") - 1
-        hits = rows.withColumn("hits", F.array(F.greatest(place, F.lit(0)))).drop("keyword")
-        return dd.cap_per_keyword(hits, "hits", p.max_results, len(order), "source", "url", "seq").drop("keyword")
+        place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in order]), F.col("keyword")).cast("int"), F.lit(0)) - 1
+        # items landed under no keyword of the search come last, as a group of their own
+        hits = rows.withColumn("hits", F.array(F.when(place < 0, len(order)).otherwise(place))).drop("keyword")
+        return dd.cap_per_keyword(hits, "hits", p.max_results, len(order) + 1, "source", "url", "seq").drop("keyword")
     if spec.dedup != "none":
         rows = dd.dedup_first(rows, ["source", "url"], "seq", None if spec.dedup == "all" else "url")
+    if p.max_results is None:
+        return rows.drop("keyword")
     by = ["source", "keyword"] if spec.cap_by == "keyword" else ["source"]
     return dd.cap(rows, p.max_results, by, "seq").drop("keyword")

@@ -198,6 +198,16 @@ def test_cap_counts_per_keyword(spark, tmp_path):
     assert sorted(r["title"] for r in rows.collect()) == ["a1", "a2", "b3", "b4"]
 
 
+def test_items_of_other_keywords_and_searches_without_cap(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"hits": [{"url": f"https://x/{n}", "title": f"t{n}"} for n in range(300)]}))
+    items, spec = read_items(spark, FEEDS["CareerJet"], str(tmp_path)), FEEDS["CareerJet"]
+    assert ingest(items, spec, SearchParams()).count() == 300
+    assert ingest(items, spec, SearchParams(keywords=("a", "b"))).count() == 300
+    assert ingest(items, spec, SearchParams(keywords=("a", "b"), max_results=10)).count() == 10
+    with pytest.raises(ValueError):
+        ingest(items, spec, SearchParams(posted_in_last_days=3))
+
+
 def test_unreadable_payload_is_reported(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"jobs": [')
     (tmp_path / "ok.json").write_text('{"jobs": []}')

@@ -36,6 +36,21 @@ def test_cap_above_group_limit_threshold(spark):
     assert {(r["source"], r["n"], r["last"]) for r in newest} == {("hot", 1500, 501), ("b", 1500, 2750)}
 
 
+@pytest.mark.parametrize("n", [3, 1000, 1001])
+def test_caps_keep_rows_without_a_key(spark, n):
+    rows = [(i, None if i % 2 else "s") for i in range(20)]
+    df = spark.createDataFrame(rows, "seq long, source string")
+    got = {r["seq"] for r in dd.cap(df, n, ["source"], "seq").collect()}
+    assert got == set(range(min(20, 2 * n)))
+
+
+def test_many_keywords_are_planned_fast(spark):
+    df = spark.createDataFrame([(i, "s", f"u{i % 50}", list(range(i % 3, 40, 3))) for i in range(120)], "seq long, source string, url string, hits array<int>")
+    plan = dd.cap_per_keyword(df, "hits", 2, 40, "source", "url", "seq")
+    assert len(plan._jdf.queryExecution().analyzed().toString().splitlines()) < 100
+    assert plan.count() == 50
+
+
 def test_cap_per_keyword_against_loop(spark):
     rnd = random.Random(7)
     rows = [(i, rnd.choice("st"), rnd.choice(["", *[f"u{j}" for j in range(25)]]), [k for k in range(3) if rnd.random() < .5]) for i in range(120)]
@@ -106,7 +121,8 @@ def test_saved_searches_equal_the_board(spark):
     _, df = listing_frame(spark)
     rules = [(1, "dat", "", "", "", None, None, ""), (2, "eng sen", "", "Any", "", None, None, ""), (3, "", "a", "", "full", None, None, ""),
              (4, "", "", "remote", "", 50.0, None, ""), (5, "", "", "", "", None, 15, ""), (6, "", "", "", "", None, None, "Germany"),
-             (7, "go", "B", "On-site", "contract", 10.0, 40, "united kingdom"), (8, "", "", "", "", None, None, ""), (9, "datacenter clerk", "", "", "", None, None, "")]
+             (7, "go", "B", "On-site", "contract", 10.0, 40, "united kingdom"), (8, "", "", "", "", None, None, ""), (9, "datacenter clerk", "", "", "", None, None, ""),
+             (10, "", "", "", "", None, None, "Atlantis"), (11, "dat", "", "", "", None, 0, "Atlantis"), (12, "", "a", "", "", None, -3, "")]
     saved = spark.createDataFrame(rules, "search_id long, query string, source string, remote string, job_type string, salary_min double, posted_in_last_days int, region string")
     as_of = F.lit("2024-03-31").cast("date")
     got = defaultdict(set)
