@@ -227,13 +227,13 @@ WITH w AS (SELECT row_no, lang, unnest(pieces) AS piece FROM (SELECT row_number(
  g AS (SELECT lang, 1 AS k, w1 AS phrase FROM x
    UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL),
- f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+ f AS (SELECT lang, k, phrase, lang || chr(10) || phrase AS key, count(*) AS a FROM g GROUP BY ALL),
  n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
  c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND a >= 10),
  cuts AS (SELECT lang, k, phrase, a, s, unnest(CASE k WHEN 2 THEN [1] ELSE [1, 2] END) AS pos FROM c),
  sides AS (SELECT u.*, x.a AS l, y.a AS r, ((1000000::HUGEINT * u.a * u.a) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM cuts u
-   JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.s[1:u.pos], ' ')
-   JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.s[u.pos + 1:], ' ')),
+   JOIN f x ON x.key = u.lang || chr(10) || array_to_string(u.s[1:u.pos], ' ')
+   JOIN f y ON y.key = u.lang || chr(10) || array_to_string(u.s[u.pos + 1:], ' ')),
  best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
  around AS (SELECT lang, phrase, max(a) AS longer FROM (
    SELECT lang, s[1] || ' ' || s[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, s[2] || ' ' || s[3], a FROM c WHERE k = 3) GROUP BY ALL),
