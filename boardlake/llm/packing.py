@@ -18,7 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import cut, mix64, query, strings, table
+from boardlake.llm.base import cut, mix64, query, table
 from boardlake.llm.tokens import END_ID, encoder
 
 LIMIT = 1024
@@ -69,7 +69,7 @@ def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, piece, start, crc, length = [], [], [], [], []
-            for i, ids in enumerate(encoder(path).encode(strings(batch.column(1)))):
+            for i, ids in enumerate(encoder(path).encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 at = [0, *range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)]
                 for k in range(len(at) - 1):

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import cut, query, strings, table
+from boardlake.llm.base import cut, query, table
 from boardlake.llm.tokens import END_ID, encoder
 from boardlake.session import scratch_dir
 
@@ -41,14 +41,25 @@ _TOTAL = _SIZES.sum(axis=1)
 _PLACES = np.cumsum(_SIZES, axis=1) - _SIZES
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of one document's ranks."""
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, where each document's start, data bytes, where each document's start) of documents one after another.
+
+    counts: of ranks in each document. The places have one entry more, for the end.
+    """
     ranks = np.ascontiguousarray(ranks, "<u4")
-    n = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    quads = np.zeros(-len(n) % 4 + len(n), np.uint8)
-    quads[:len(n)] = n
-    control = quads.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= n[:, None]].tobytes()
+    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    controls = np.concatenate([[0], np.cumsum((counts + 3) // 4)])
+    quads = np.zeros(4 * controls[-1], np.uint8)
+    quads[np.arange(len(ranks)) + np.repeat(4 * controls[:-1] - first[:-1], counts)] = more
+    ends = np.concatenate([[0], np.cumsum(more + 1, dtype=np.int64)])
+    return quads.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8), controls, ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]], ends[first]
+
+
+def _binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """values cut at the places at."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [
+        None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -112,40 +123,54 @@ def read_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): token ids with the end id, as little-endian unsigned numbers of 16 bits, or 32 for larger vocabularies."""
+    """(doc_id, n, ids, counted): token ids with the end id, as little-endian unsigned numbers of 16 bits, or 32 for larger vocabularies.
+
+    counted: with some rows, how often each id occurs in the rows of their batch.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         kind = "<u2" if len(e.bytes_of) <= 1 << 16 else "<u4"
         for batch in batches:
-            ids = [np.append(x, END_ID).astype(kind) for x in e.encode(strings(batch.column(1)))]
+            times = np.zeros(len(e.bytes_of), np.int64)
+            ids, n = [], []
+            for x in e.encode(batch.column(1)):
+                ids.append(np.append(x, END_ID).astype(kind).tobytes())
+                n.append(len(x) + 1)
+                np.add.at(times, x, 1)
+            times[END_ID] += len(ids)
+            at = np.flatnonzero(times)
+            counted = [list(zip(at.tolist(), times[at].tolist(), strict=True)), *[None] * (len(ids) - 1)] if ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counted, _COUNTED)],
+                names=["doc_id", "n", "ids", "counted"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, ids binary, counted array<struct<id:bigint,n:bigint>>")
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, ids binary")
 
+_COUNTED = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
-def _numbers(value: pa.Scalar, n: int) -> np.ndarray:
-    buf = value.as_buffer()
-    return np.frombuffer(buf, "<u2" if buf.size == 2 * n else "<u4")
+
+def _numbers(values: pa.Array, n: np.ndarray) -> np.ndarray:
+    """All ids of a column of ids, whose documents hold n each."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    if not len(values) or ends[-1] == ends[0]:
+        return np.empty(0, np.uint32)
+    return np.frombuffer(values.buffers()[2][ends[0]:ends[-1]], "<u2" if ends[-1] - ends[0] == 2 * n.sum() else "<u4")
 
 
 def ranking(tokens: DataFrame) -> np.ndarray:
     """Token ids by count over all documents, the most frequent first. One count per id of the vocabulary comes to the driver."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.bincount(_numbers(x, n), minlength=len(total))
-                got[:len(total)] += total
-                total = got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    rows = tokens.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counted IS NOT NULL").select(F.inline("counted")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
+def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about limit."""
+    group = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return zip(edges, edges[1:], strict=False)
+
+
 def write_files(tokens: DataFrame, folder: str) -> DataFrame:
     """Token files of a stored table (doc_id, n, ids) in folder; returns (file, name, docs, ids), one row per file.
 
@@ -166,13 +191,14 @@ def write_files(tokens: DataFrame, folder: str) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = shared.value[1]
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            made = [encode_ranks(rank_of[_numbers(x, n)]) for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            names = np.array([-np.inf if d is None else d for d in docs], np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(limits, names, "left"), pa.int32()), batch.column(0), batch.column(1),
-                 pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-                names=["file", "doc_id", "n", "control", "data"])
+            for lo, hi in _cuts(batch.column(1).to_numpy(), _BLOCK_IDS):
+                part = batch.slice(lo, hi - lo)
+                n = part.column(1).to_numpy()
+                control, controls, data, places = encode_ranks(rank_of[_numbers(part.column(2), n)], n)
+                names = np.where(np.asarray(part.column(0).is_null()), -np.inf, part.column(0).fill_null(0).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.searchsorted(limits, names, "left"), pa.int32()), part.column(0), part.column(1),
+                     _binaries(control, controls), _binaries(data, places)], names=["file", "doc_id", "n", "control", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, docs, size, out, held, held_ids = TaskContext.get().partitionId(), 0, 0, None, [], 0

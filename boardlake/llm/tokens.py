@@ -12,13 +12,40 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
 
-from boardlake.llm.base import no_threads, pieces, ragged
+from boardlake.llm.base import no_threads, ragged
+
+#: Texts, and bytes of them, in a run at most.
+_RUN, _RUN_BYTES = 20_000, 4_000_000
 
 END_ID = 2
 _MARKS = ".,;:!?"
-_JOIN = 500
+_JOIN = 200
+#: How byte-level vocabularies write a space.
+_SPACE = "\u0120"
+
+
+class _Growing:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind):
+        self.all, self.n = np.empty(1024, kind), 0
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.all[:self.n]
+
+    def extend(self, values) -> None:
+        end = self.n + len(values)
+        if end > len(self.all):
+            wider = np.empty(max(end, 2 * len(self.all)), self.all.dtype)
+            wider[:self.n] = self.now
+            self.all = wider
+        self.all[self.n:end] = values
+        self.n = end
 
 
 class _Slots(dict):
@@ -47,72 +74,100 @@ class TextEncoder:
             size[i] = len(token) if all(c in byte for c in token) else len(token.encode())
         for i, added in self.lib.get_added_tokens_decoder().items():
             size[i] = len(added.content.encode())
-        self.bytes_of, self.marks, self.keep = size, {m: vocab.get(m) for m in _MARKS}, keep
+        self.bytes_of, self.marks, self.keep = size, {m: i for m in _MARKS if (i := vocab.get(m)) is not None}, keep
+        whole_words = self.lib.normalizer is None and isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel)
+        self.word = self.lib.model.tokenize if whole_words else None
         self._clear()
 
     def _clear(self) -> None:
-        self.slots, self.flat, self.start, self.size = _Slots(), array("I"), array("q"), array("q")
+        self.slots, self.flat = _Slots(), _Growing(np.uint32)
+        self.start, self.size = _Growing(np.int64), _Growing(np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _put(self, at: list[int] | np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """ids holds one run of sizes[k] ids for each piece at[k]."""
+        self.start.now[at] = self.flat.n + np.cumsum(sizes) - sizes
+        self.size.now[at] = sizes
+        self.flat.extend(ids)
+
     def _learn(self) -> None:
         """Ids of the pending pieces. A piece stands for itself after a space; one that starts with a space begins a text."""
-        slots, plain, heads, tails, odd = self.slots, [], [], [], []
-        for key in slots.pending:  # grows while it is read
+        slots, marks, base = self.slots, self.marks, self.start.n
+        plain, plain_at, heads, heads_at, words, ends, tails_at, words_at = [], [], [], [], [], [], [], []
+        ids, sizes = array("I"), array("q")
+        for i, key in enumerate(slots.pending, base):  # grows while it is read
+            mark = marks.get(key[-1:])
             if key[:1] == " ":
-                heads.append(key)
-            elif not key or key[0].isspace():
-                odd.append(key)
-            elif (mark := self.marks.get(key[-1])) is not None and key[:-1].isalpha() and max(key) < "\u2000":
-                tails.append((key, slots[key[:-1]], mark))
-            else:
+                heads.append(key[1:])
+                heads_at.append(i)
+            elif mark is not None and (word := key[:-1]).isalpha() and (key.isascii() or max(key) < "\u2000"):
+                words.append(slots[word])
+                ends.append(mark)
+                tails_at.append(i)
+            elif self.word is not None and key.isascii() and key.isalpha():  # one token run: no need to split it
+                found = self.word(_SPACE + key)
+                ids.extend([t.id for t in found])
+                sizes.append(len(found))
+                words_at.append(i)
+            elif key and not key[0].isspace():
                 plain.append(key)
+                plain_at.append(i)
         slots.pending = []
-        grow = len(slots) - len(self.start)
-        self.start.extend([0] * grow)
-        self.size.extend([-1] * grow)
+        grow = len(slots) - base
+        self.start.extend(np.zeros(grow, np.int64))
+        self.size.extend(np.full(grow, -1, np.int64))
+        if words_at:
+            self._put(words_at, np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.uint32))
         for lo in range(0, len(plain), _JOIN):
-            part = plain[lo:lo + _JOIN]
-            ids = self._whole([" " + " ".join(part)])[0]
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
-            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1
-            begin, base = 0, len(self.flat)
-            self.flat.extend(ids)
-            for key, e in zip(part, at.tolist(), strict=True):
-                i = slots[key]
-                self.start[i], self.size[i], begin = base + begin, e - begin, e
-        for key, ids in zip(heads, self._whole([k[1:] for k in heads]), strict=True):
-            i = slots[key]
-            self.start[i], self.size[i] = len(self.flat), len(ids)
-            self.flat.extend(ids)
-        for key, word, mark in tails:
-            i, s, n = slots[key], self.start[word], self.size[word]
-            self.start[i], self.size[i] = len(self.flat), n + 1
-            self.flat.extend(self.flat[s:s + n])
-            self.flat.append(mark)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for lo, hi in pieces(texts):
-            yield from self._encode(texts[lo:hi])
-
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+            joined = " " + " ".join(plain[lo:lo + _JOIN])
+            ids = np.array(self._whole([joined])[0], np.uint32)
+            spans = np.fromiter(map(len, joined.encode().split(b" ")[1:]), np.int64) + 1
+            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(spans), "left") + 1
+            self._put(plain_at[lo:lo + _JOIN], np.diff(at, prepend=0), ids)
+        if heads:
+            found = self._whole(heads)
+            self._put(heads_at, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        if words:
+            sizes = self.size.now[words]
+            to = np.cumsum(sizes + 1)
+            ids = np.empty(to[-1], np.uint32)
+            ids[ragged(to - sizes - 1, sizes)] = self.flat.now[ragged(self.start.now[words], sizes)]
+            ids[to - 1] = ends
+            self._put(tails_at, sizes + 1, ids)
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; nulls are empty texts."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        sizes, lo = pc.binary_length(texts).to_numpy(), 0
+        while lo < len(texts):  # a longer text is a run of its own
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:lo + _RUN]), _RUN_BYTES, "right")))
+            yield from self._encode(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if len(self.slots) > self.keep:
             self._clear()
-        parts = [t.split(" ") for t in texts]
-        for p in parts:
-            p[0] = " " + p[0]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        parts = pc.split_pattern(texts, " ")
+        bounds, words = parts.offsets.to_numpy(), parts.values
+        words = words.slice(bounds[0], bounds[-1] - bounds[0])
+        first, counts = bounds[:-1].astype(np.int64) - bounds[0], np.diff(bounds).astype(np.int64)
+        coded = words.dictionary_encode()  # each different piece is looked up once
+        slot = self.slots.__getitem__
+        names = coded.dictionary
+        at = np.fromiter(map(slot, names.to_numpy(False)), np.int64, len(names))[coded.indices.to_numpy()]
+        at[first] = np.fromiter((slot(" " + w) for w in words.take(pa.array(first)).to_numpy(False)), np.int64, len(first))
         if self.slots.pending:
             self._learn()
-        size, start = np.frombuffer(self.size, np.int64)[at], np.frombuffer(self.start, np.int64)[at]
-        first = np.cumsum(counts) - counts
+        size, start = self.size.now[at], self.start.now[at]
         odd = np.minimum.reduceat(size, first) < 0
-        size = np.where(np.repeat(odd, counts), 0, size)
-        ids = np.frombuffer(self.flat, np.uint32)[ragged(start, size)] if size.any() else np.empty(0, np.uint32)
+        if odd.any():
+            size = np.where(np.repeat(odd, counts), 0, size)
+        ids = self.flat.now[ragged(start, size)]
         ends = np.cumsum(np.add.reduceat(size, first))
-        whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
         begin = 0
         for o, e in zip(odd.tolist(), ends.tolist(), strict=True):
             yield np.array(next(whole), np.uint32) if o else ids[begin:e]

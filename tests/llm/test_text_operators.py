@@ -54,10 +54,12 @@ def test_cached_encoder_equals_the_library():
 def test_variable_length_coding_round_trip():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 1 << rng.integers(1, 33), rng.integers(0, 30), dtype=np.uint64).astype(np.uint32) for _ in range(300)]
-    coded = [token_files.encode_ranks(d) for d in docs]
-    got = token_files.decode_ranks(*(np.frombuffer(b"".join(c[k] for c in coded), np.uint8) for k in (0, 1)), np.array([len(d) for d in docs]))
+    counts = np.array([len(d) for d in docs])
+    control, controls, data, places = token_files.encode_ranks(np.concatenate(docs), counts)
+    got = token_files.decode_ranks(control, data, counts)
     assert (got == np.concatenate(docs)).all()
-    assert len(token_files.encode_ranks(np.array([255, 256, 65535, 65536, 1 << 24]))[1]) == 1 + 2 + 2 + 3 + 4
+    assert controls[-1] == len(control) == sum(-(-len(d) // 4) for d in docs) and places[-1] == len(data)
+    assert len(token_files.encode_ranks(np.array([255, 256, 65535, 65536, 1 << 24]), np.array([5]))[2]) == 1 + 2 + 2 + 3 + 4
 
 
 def test_token_files(spark, monkeypatch):
