@@ -5,18 +5,22 @@ a mark after another character. The distinct words of a batch, sorted, are the p
 one word to the next the walk goes back to the common prefix and keeps its forward scores, then goes on along the rest. At a node
 an automaton of all pieces names the pieces that end there, so a node costs one step and as many sums as such pieces.
 
-The path of a word is the one with the highest sum of piece scores; among equals the longest last piece wins, as in the
-library's unigram model. A character without a piece costs UNKNOWN below the lowest score and is written as its bytes.
-Vocabularies in which a piece does go on with a mark are walked text by text. Words already met by a worker are not walked again.
+The vocabulary is one of merges: the library joins the two neighbours whose piece ranks first until none are left. Its result is
+the one path along which no two neighbouring pieces would have been cut otherwise: joining their characters alone by rank gives
+the same two pieces. So a prefix has one forward state, the last piece of its path (every other path scores minus infinity), and
+a node takes the one ending piece that agrees with the state at its beginning. A character without a piece is never joined and
+is written as its bytes. Vocabularies in which a piece goes on with a mark are walked text by text. Words already met by a
+worker are not walked again, as long as their characters stay under KEPT_CHARS.
 
 Null texts give null ids, empty texts no ids. Repeated rows encode alike. An empty table gives no rows. Decoding ids gives the
-text back, where it holds no mark of its own; ids outside the vocabulary raise an error. Only the named columns are read.
+text back, where it holds no mark of its own; ids outside the vocabulary are left out. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
@@ -24,32 +28,34 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boardlake.llm.base import pieces as runs, query, ragged, table
 
 MARK = "▁"
-UNKNOWN = 10.0
-KEEP = 500_000
-LEARNT = 1_000_000
+#: Characters of words that a worker remembers, links of the automaton that it adds, pairs of pieces whose agreement it remembers.
+KEPT_CHARS, LEARNT, PAIRS = 5_000_000, 200_000, 400_000
+#: Characters of texts that are encoded at a time.
+_RUN = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Automaton:
-    """Aho-Corasick automaton: ends[state] lists (length, score, id) of the pieces that end there, the longest first."""
+    """Aho-Corasick automaton: ends[state] lists (length, id) of the pieces that end there, the longest first."""
 
-    def __init__(self, words: list[tuple[str, float, int]]):
+    def __init__(self, words: list[tuple[str, int]]):
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[list[tuple[int, float, int]]] = [[]]
-        for word, score, i in words:
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        for word, i in words:
             state = 0
             for ch in word:
                 state = self.next[state].setdefault(ch, len(self.next))
                 if state == len(self.next):
                     self.next.append({})
                     self.ends.append([])
-            self.ends[state].append((len(word), score, i))
+            self.ends[state].append((len(word), i))
         self.fail, self.learnt = [0] * len(self.next), 0
         queue = deque(self.next[0].values())
         while queue:
@@ -75,7 +81,63 @@ class Automaton:
         return to
 
 
-class PieceEncoder:
+class Merges:
+    """How pieces come about: rank (lower first) of each piece's text, and the pieces along both edges of each."""
+
+    def __init__(self, rank: dict[str, float]):
+        self.rank = rank
+        self.left: dict[str, list[str]] = {}
+        self.right: dict[str, list[str]] = {}
+        self.agreed: dict[tuple[str, str], bool] = {}
+
+    def parts(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """(pieces that text is joined to, the last two joined)."""
+        now, last = list(text), None
+        while len(now) > 1:
+            best, at = min((self.rank.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(now, now[1:], strict=False)))
+            if best == np.inf:
+                break
+            last = now[at], now[at + 1]
+            now[at:at + 2] = [now[at] + now[at + 1]]
+        return now, last
+
+    def edge(self, piece: str, side: int) -> list[str]:
+        """The pieces that stand at one end of a piece while it comes about, the character first."""
+        known = (self.left, self.right)[side]
+        if piece not in known:
+            last = self.parts(piece)[1]
+            known[piece] = [piece] if last is None else [*self.edge(last[side], side), piece]
+        return known[piece]
+
+    def agree(self, a: str, b: str) -> bool:
+        """Would a followed by b be joined to just these two? True unless a join across comes before what ends either edge."""
+        key = a, b
+        if (out := self.agreed.get(key)) is None:
+            if len(self.agreed) >= PAIRS:
+                self.agreed.clear()
+            out = self.agreed[key] = self._agree(self.edge(a, 1), self.edge(b, 0))
+        return out
+
+    def _agree(self, left: list[str], right: list[str]) -> bool:
+        rank = self.rank.get
+        i = j = 0
+        while True:
+            next_left = rank(left[i + 1]) if i + 1 < len(left) else np.inf
+            next_right = rank(right[j + 1]) if j + 1 < len(right) else np.inf
+            across = rank(left[i] + right[j])
+            if across is not None and across < next_left and across <= next_right:  # of equal joins the left one comes first
+                return False
+            if next_left == next_right == np.inf:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+
+class PieceTable:
+    """Texts of the pieces: all that decoding needs."""
+
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
@@ -83,52 +145,76 @@ class PieceEncoder:
         self.bytes = {int(self.texts[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
-        plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.control = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i)}
-        self.automaton = Automaton([(self.texts[i], sp.get_score(i), i) for i in plain])
-        self.low = min(sp.get_score(i) for i in plain) - UNKNOWN
-        self.split = not any(re.search(f"[^{MARK}]{MARK}", self.texts[i]) for i in plain)
+        self.silent = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i)}
+        self.plain = [i for i in range(size) if not (i in self.silent or i in self.byte_of or sp.is_unused(i))]
+        self.rank = {self.texts[i]: -sp.get_score(i) for i in self.plain}
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: bytes joined to characters, marks as blanks, the leading mark dropped; control and unknown ids skipped."""
+        out, held = [], bytearray()
+        for i in ids.tolist():
+            if (b := self.byte_of.get(i)) is not None:
+                held.append(b)
+                continue
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held = bytearray()
+            if 0 <= i < len(self.texts) and i not in self.silent:
+                out.append(self.texts[i])
+        out.append(held.decode("utf-8", "replace"))
+        return "".join(out).replace(MARK, " ").removeprefix(" ")
+
+
+class PieceEncoder(PieceTable):
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.merges = Merges(self.rank)
+        # a piece that joining its characters doesn't give is in no text's path; a single character has nothing to join
+        self.automaton = Automaton([(self.texts[i], i) for i in self.plain if len(self.merges.parts(self.texts[i])[0]) == 1])
+        self.split = not any(re.search(f"[^{MARK}]{MARK}", self.texts[i]) for i in self.plain)
         self.known: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
-        self.flat, self.start, self.size = [], [], []
+        self.flat, self.start, self.size, self.chars = array("i"), array("q"), array("q"), 0
 
     def _spelled(self, ch: str) -> list[int]:
         return [self.bytes[b] for b in ch.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def viterbi(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the words, which are sorted: a depth-first walk of their trie."""
-        links, learn, ends, low = self.automaton.next, self.automaton.learn, self.automaton.ends, self.low
-        score, back, state = [0.0], [(0, 0)], [0]  # along the path from the root
+        links, learn, ends, agree, texts = self.automaton.next, self.automaton.learn, self.automaton.ends, self.merges.agree, self.texts
+        last, state = [""], [0]  # along the path from the root: text of the last piece, state of the automaton
+        ids, sizes = array("i", [-1]), array("i", [0])
         before = ""
         for word in words:
             k, n = 0, min(len(before), len(word))
             while k < n and before[k] == word[k]:
                 k += 1
-            del score[k + 1:], back[k + 1:], state[k + 1:]
+            del last[k + 1:], state[k + 1:], ids[k + 1:], sizes[k + 1:]
             here = state[k]
             for at in range(k, len(word)):
                 ch = word[at]
                 to = links[here].get(ch)
                 here = learn(here, ch) if to is None else to
-                best, way, length = -np.inf, None, 0
-                for length, s, i in ends[here]:
-                    s += score[at + 1 - length]
-                    if s > best:
-                        best, way = s, (length, i)
-                if length != 1 and score[at] + low > best:  # no piece for the character alone
-                    best, way = score[at] + low, (1, -1)
-                score.append(best)
-                back.append(way)
+                length, i, piece = 1, -1, ch
+                for length, i in ends[here]:
+                    piece = texts[i]
+                    front = last[at + 1 - length]
+                    if not front or agree(front, piece):
+                        break
+                else:  # no piece for the character
+                    length, i, piece = 1, -1, ch
+                last.append(piece)
                 state.append(here)
+                ids.append(i)
+                sizes.append(length)
             out: list[int] = []
             at = len(word)
             while at:
-                length, i = back[at]
-                out += reversed(self._spelled(word[at - 1])) if i < 0 else (i,)
-                at -= length
+                out += reversed(self._spelled(word[at - 1])) if ids[at] < 0 else (ids[at],)
+                at -= sizes[at]
             out.reverse()
             yield out
             before = word
@@ -140,11 +226,11 @@ class PieceEncoder:
         return _WORD.findall(text) if self.split else [text]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for lo, hi in runs(texts):
+        for lo, hi in runs(texts, _RUN):
             yield from self._encode([self.marked(t) for t in texts[lo:hi]])
 
     def _encode(self, words: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.known) > KEEP:
+        if self.chars > KEPT_CHARS:
             self._clear()
         counts = np.fromiter(map(len, words), np.int64, len(words))
         fresh = sorted(set(chain.from_iterable(words)).difference(self.known))
@@ -152,84 +238,85 @@ class PieceEncoder:
             self.known[word] = len(self.start)
             self.start.append(len(self.flat))
             self.size.append(len(ids))
-            self.flat += ids
+            self.flat.extend(ids)
+            self.chars += len(word)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if not len(at):
             yield from (np.empty(0, np.int32) for _ in words)
             return
-        starts, sizes = np.array(self.start, np.int64)[at], np.array(self.size, np.int64)[at]
-        ids = np.array(self.flat, np.int32)[ragged(starts, sizes)]
+        starts, sizes = np.frombuffer(self.start, np.int64)[at], np.frombuffer(self.size, np.int64)[at]
+        ids = np.frombuffer(self.flat, np.int32)[ragged(starts, sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         for a, b in zip(ends, ends[1:], strict=False):
             yield ids[a:b]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes joined to characters, marks as blanks, the leading mark dropped, control ids skipped."""
-        out, held = [], bytearray()
-        for i in ids.tolist():
-            if (b := self.byte_of.get(i)) is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if i not in self.control:
-                out.append(self.texts[i])
-        out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+
+_MADE: dict[tuple[type, str], PieceTable] = {}
 
 
-_MADE: dict[str, PieceEncoder] = {}
+def _made(kind: type, path: str) -> PieceTable:
+    if (kind, path) not in _MADE:
+        _MADE[kind, path] = kind(path)
+    return _MADE[kind, path]
 
 
 def piece_encoder(path: str) -> PieceEncoder:
-    if path not in _MADE:
-        _MADE[path] = PieceEncoder(path)
-    return _MADE[path]
+    """This worker's encoder for a vocabulary file."""
+    return _made(PieceEncoder, path)
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns named in keep, and ids (array<int>)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in runs([t or "" for t in texts], 4_000_000):
-                found = list(piece_encoder(path).encode([t or "" for t in texts[lo:hi]]))
+            for part, texts in _parts(batch, batch.num_columns - 1):
+                found = list(piece_encoder(path).encode([t or "" for t in texts]))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)), mask=pa.array([t is None for t in texts[lo:hi]]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), lists], names=[*names, "ids"])
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)), mask=pa.array([t is None for t in texts]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), lists], names=[*names, "_ids"])
 
     names = [f"_k{i}" for i in range(len(keep))]
     fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
     chosen = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep, strict=True)), F.col(text_col).alias("_text"))
-    return chosen.mapInArrow(run, ", ".join([*fields, "ids array<int>"])).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    coded = chosen.mapInArrow(run, ", ".join([*fields, "_ids array<int>"]))
+    return coded.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), F.col("_ids").alias("ids"))
+
+
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows of a batch with about 4 MB of text, and their texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)) // 4_000_000
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = batch.slice(lo, hi - lo)
+        yield part, part.column(text).to_pylist()
 
 
 def decode(path: str):  # noqa: ANN201
-    """Column function: the text of an array of ids."""
+    """Column function: the text of an array of ids; null ids are left out."""
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        e = piece_encoder(path)
-        return pa.array([e.decode(x.values.to_numpy()) if x.is_valid else None for x in ids], pa.string())
+        e = _made(PieceTable, path)
+        return pa.array([e.decode(x.values.drop_null().to_numpy()) if x.is_valid else None for x in ids], pa.string())
 
     return text
 
 
-def _crc(ids: pa.Array) -> pa.Array:
-    return pa.array([zlib.crc32(np.ascontiguousarray(x.values.to_numpy(), "<u4")) if x.is_valid else 0 for x in ids], pa.int64())
-
-
 @query("op3_piece_viterbi")
 def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of ids, their crc32, and whether decoding them gives the text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(table(spark, sf_dir, "documents"), path, ["doc_id", "text"])
 
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return _crc(ids)
-
-    return coded.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"),
-        F.col("text").eqNullSafe(decode(path)("ids")).alias("text_matches"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = piece_encoder(path)
+        for batch in batches:
+            for part, texts in _parts(batch, 1):
+                n, crc, same = [], [], []
+                for t, ids in zip(texts, e.encode([t or "" for t in texts]), strict=True):
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(np.ascontiguousarray(ids, "<u4")))
+                    same.append(e.decode(ids) == (t or ""))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=names)
+
+    names = ["doc_id", "n_ids", "ids_crc32", "text_matches"]
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_ids long, ids_crc32 long, text_matches boolean")

@@ -266,39 +266,36 @@ def test_op2_whole_table(spark):
 
 
 # ---- op3 -----------------------------------------------------------------------------
-def best_score(e, sp, text):
-    """Highest sum of scores over all ways to cut a marked text."""
-    scores = {e.texts[i]: sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    best = [0.0] + [-math.inf] * len(text)
-    for b in range(1, len(text) + 1):
-        for a in range(max(0, b - 20), b):
-            s = scores.get(text[a:b], e.low if b - a == 1 else None)
-            if s is not None:
-                best[b] = max(best[b], best[a] + s)
-    return best[-1]
-
-
-def test_viterbi_is_optimal_and_round_trips(spark):
+def test_pieces_equal_the_library_and_round_trip(spark, monkeypatch):
     e, sp = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = [t for t in TEXTS if t is not None and len(t) < 2000] + ["日本語 text", "tail  ", "  two"]
-    for t, ids in zip(texts, e.encode(texts), strict=True):
-        assert e.decode(ids) == t
-        if t:
-            coded = [i for i in ids.tolist() if not sp.is_byte(i)]
-            unknown = [c for c in t.replace(" ", pieces.MARK) if c not in e.texts]
-            assert sum(map(sp.get_score, coded)) + e.low * len(unknown) == best_score(e, sp, pieces.MARK + t.replace(" ", pieces.MARK))
-    got = pieces.encode(documents(spark), PIECES, ["doc_id", "text"])
+    rng = random.Random(9)
+    odd = ["".join(rng.choices(" \n\tab.,é'1x▁ñ😀日theaaan", k=rng.randint(0, 40))) for _ in range(3000)]
+    texts = [t for t in TEXTS if t is not None] + odd + ["日本語 text", "tail  ", "  two", "aaaaaaaaaaaaa", " ", "▁"]
+    for kept in (pieces.KEPT_CHARS, 100):  # with and without forgetting
+        monkeypatch.setattr(pieces, "KEPT_CHARS", kept)
+        for lo in range(0, len(texts), 500):
+            for t, ids in zip(texts[lo:lo + 500], e.encode(texts[lo:lo + 500]), strict=True):
+                assert ids.tolist() == sp.encode(t), t
+                assert e.decode(ids) == t.replace("▁", " ")
+    got = pieces.encode(documents(spark).withColumn("ids", F.lit(1)), PIECES, ["doc_id", "text"])
     rows = got.withColumn("back", pieces.decode(PIECES)("ids")).collect()
     assert len(rows) == len(ROWS) and all(r.back == r.text for r in rows)
     assert pieces.encode(empty(spark), PIECES, ["doc_id"]).count() == 0
+    strange = spark.createDataFrame([([-5, 10**6, 278, None],), ([],), (None,)], "ids array<int>")
+    assert [r[0] for r in strange.select(pieces.decode(PIECES)("ids")).collect()] == [sp.id_to_piece(278).replace("▁", ""), "", None]
+
+
+def test_pieces_of_very_long_texts():
+    e, sp = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("river stone " * 300_000, "".join(random.Random(2).choices("abcde", k=1_000_000))):
+        assert next(iter(e.encode([text]))).tolist() == sp.encode(text)
 
 
 def test_op3_whole_table(spark):
     got = QUERIES["op3_piece_viterbi"](spark, SF).collect()
-    e = pieces.PieceEncoder(PIECES)
-    want = {d: next(iter(e.encode([t or ""]))) for d, t in whole(spark)}
-    assert {r.doc_id: (r.n_ids, r.ids_crc32, r.text_matches) for r in got} == {
-        d: (len(x), zlib.crc32(x.astype("<u4").tobytes()), True) for d, x in want.items()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = {d: np.array(sp.encode(t or ""), "<u4") for d, t in whole(spark)}
+    assert {r.doc_id: (r.n_ids, r.ids_crc32, r.text_matches) for r in got} == {d: (len(x), zlib.crc32(x.tobytes()), True) for d, x in want.items()}
 
 
 # ---- op7 -----------------------------------------------------------------------------
