@@ -5,9 +5,9 @@ misspelling shares most vectors with the word it stands for. A window of WINDOW
 the softmax gives it a margin of toxic over clean; a text's margin is the soft maximum of its windows' margins, since
 a few words decide, not the average of a long text. Vectors and softmax are trained together, by numpy on the driver.
 
-Training takes labelled rows alone, SAMPLE of each class at most, those with the lowest hash of their id, and
-no longer than SAMPLE_CHARS; each class weighs as much as it has labels. The score of a text is the probability of
-toxic. Null and empty texts have no windows: their score is that of the bias alone. Without labels of both classes every
+Training takes whole texts of labelled rows alone: of each class those with the lowest hash of their id, SAMPLE rows and
+SAMPLE_CHARS characters at most (a row that would exceed the characters is passed over, so a text longer than that is
+never learnt from). Each class weighs as much as it has labels. The score of a text is the probability of toxic. Null and empty texts have no windows: their score is that of the bias alone. Without labels of both classes every
 score is the share of toxic labels, 0 without any. Repeated rows score alike. Labels that are null are not read;
 an id with labels of both kinds counts as toxic. An empty table gives no rows. Only the named columns are read.
 """
@@ -26,8 +26,10 @@ from boardlake.llm.words import split_words
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS, DIMENSION, WINDOW, SHARPNESS = 18, 8, 4, 4.0
-#: Labelled rows of each class that training reads at most, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 1500, 30_000
+#: Labelled rows of each class that training reads at most, and characters of all of them. The driver holds 12 bytes for each character.
+SAMPLE, SAMPLE_CHARS = 1500, 4_000_000
+#: Characters that training turns into n-grams at a time.
+FIT_CHARS = 200_000
 EPOCHS, RATE, DECAY = 45, 0.08, 1e-6
 THRESHOLD = 0.3
 
@@ -40,8 +42,7 @@ for _c in range(0x10000):
 @dataclass
 class Bag:
     """N-grams of texts: bucket of each, in windows; windows in texts."""
-    buckets: np.ndarray  # int32
-    window_of: np.ndarray  # of each n-gram
+    buckets: np.ndarray  # int32, window by window
     counts: np.ndarray  # n-grams of each window
     first: np.ndarray  # first window of each text, one entry more for the end
 
@@ -77,11 +78,11 @@ def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
 def bag(texts: list[str]) -> Bag:
     bounds, first, codes, found = _windows(texts)
     if not len(bounds) - 1:
-        return Bag(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), first)
+        return Bag(np.empty(0, np.int32), np.empty(0, np.int64), first)
     at, buckets = (np.concatenate(x) for x in zip(*found, strict=True))
     at, buckets = at[at >= bounds[0]], buckets[at >= bounds[0]]
     window = np.searchsorted(bounds, at, "right") - 1
-    return Bag(buckets, window.astype(np.int32), np.bincount(window, minlength=len(bounds) - 1), first)
+    return Bag(buckets[np.argsort(window, kind="stable")], np.bincount(window, minlength=len(bounds) - 1), first)
 
 
 def window_margins(texts: list[str], margin_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,7 @@ class Model:
 def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
     """Full-batch Adam on log loss, vectors and softmax together. Texts are read in parts, so memory follows the n-grams."""
     rng = np.random.default_rng(seed)
-    bags = [bag(texts[lo:hi]) for lo, hi in pieces(texts)]
+    bags = [bag(texts[lo:hi]) for lo, hi in pieces(texts, FIT_CHARS)]
     sizes = [len(b.first) - 1 for b in bags]
     y, c = np.split(toxic.astype(np.float64), np.cumsum(sizes)[:-1]), np.split(weights / weights.sum(), np.cumsum(sizes)[:-1])
     share = float((toxic * weights).sum() / weights.sum())
@@ -143,13 +144,14 @@ def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7)
         margin = (params[0] @ way.astype(np.float32)).astype(np.float32)
         pull, bias = np.zeros(1 << BUCKET_BITS), 0.0
         for b, yy, cc in zip(bags, y, c, strict=True):
-            values = np.bincount(b.window_of, margin[b.buckets], len(b.counts)) / np.maximum(b.counts, 1)
+            window_of = np.repeat(np.arange(len(b.counts), dtype=np.int32), b.counts)
+            values = np.bincount(window_of, margin[b.buckets], len(b.counts)) / np.maximum(b.counts, 1)
             pooled, part = soft_max(values, b.first)
             p = 1 / (1 + np.exp(-np.clip(pooled + params[2][0], -50, 50)))
             g = cc * (p - yy)
             bias += g.sum()
             per_window = np.repeat(g, np.diff(b.first)) * part / np.maximum(b.counts, 1)
-            pull += np.bincount(b.buckets, per_window[b.window_of], len(pull))
+            pull += np.bincount(b.buckets, per_window[window_of], len(pull))
         toward = pull @ params[0]
         grads = [(pull[:, None] * way).astype(np.float32) + np.float32(DECAY) * params[0], np.array([-toward, toward]), np.array([bias])]
         for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -170,28 +172,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if not (totals.get(0) and totals.get(1)):
         return float(bool(totals.get(1)))
-    chosen = None
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    sized = texts.groupBy("_id").agg(F.max(F.length("_text")).alias("_n"))
+    got = {}
     for toxic in (0, 1):
-        part = known.where(F.col("_toxic") == toxic).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, id_col)
-    rows = rows.where(F.length("_text") <= SAMPLE_CHARS).groupBy(id_col).agg(F.max("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
-    got = rows.collect()  # SAMPLE rows of each class at most
-    got.sort(key=lambda r: (r[id_col], r["_text"]))
-    toxic = np.array([r["_toxic"] for r in got])
-    if not len(got) or toxic.min() == toxic.max():
-        return totals.get(1, 0) / sum(totals.values())
-    weight = {k: totals[k] / (toxic == k).sum() for k in (0, 1)}
-    return fit([r["_text"] for r in got], toxic, np.array([weight[int(t)] for t in toxic]))
+        part = known.where(F.col("_toxic") == toxic).select(F.col(id_col).alias("_id")).join(sized, "_id")
+        first = part.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()  # ids and lengths
+        chosen, room = [], SAMPLE_CHARS
+        for r in first:
+            if r["_n"] <= room:
+                chosen.append(r["_id"])
+                room -= r["_n"]
+        ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"_id {docs.schema[id_col].dataType.simpleString()}")
+        rows = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.max(F.struct(F.length("_text"), "_text"))["_text"].alias("_text"))
+        read = rows.orderBy("_id").select("_text").toArrow() if chosen else None  # SAMPLE_CHARS characters at most
+        got[toxic] = read.column(0).to_pylist() if read else []
+        del read
+    if not (got[0] and got[1]):
+        return totals[1] / sum(totals.values())
+    n = len(got[0]), len(got[1])
+    weights = np.repeat([totals[0] / n[0], totals[1] / n[1]], n)
+    return fit(got.pop(0) + got.pop(1), np.repeat([0, 1], n), weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-             threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, columns named in keep, held_out, score, predicted."""
+             threshold: float = THRESHOLD, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Per document: id, columns named in keep, held_out, score, predicted; prefix goes before the last three names."""
     model = train(docs, labels, id_col, text_col, label_col)
-    chosen = docs.select(id_col, F.col(text_col).alias("_text"), *(c for c in keep))
+    names = [f"_k{i}" for i in range(len(keep))]  # columns passed on may have any name
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
     if isinstance(model, float):
-        scored = chosen.withColumn("score", F.lit(model))
+        scored = chosen.withColumn("_score", F.lit(model))
     else:
         shared = docs.sparkSession.sparkContext.broadcast((Model(np.empty((0, DIMENSION)), model.softmax, model.bias), model.margins()))
 
@@ -200,13 +211,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for batch in batches:
                 texts = strings(batch.column("_text"))
                 parts = [light.scores(texts[lo:hi], margin_of) for lo, hi in pieces(texts)]
-                yield batch.append_column("score", pa.array(np.concatenate(parts) if parts else np.empty(0)))
+                yield batch.append_column("_score", pa.array(np.concatenate(parts) if parts else np.empty(0)))
 
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
-        scored = chosen.mapInArrow(score, ", ".join([*fields, "score double"]))
+        scored = chosen.mapInArrow(score, ", ".join([*fields, "_score double"]))
+    found = {"held_out": held_out("_id"), "score": F.col("_score"), "predicted": (F.col("_score") >= threshold).cast("int")}
     return scored.select(
-        id_col, *(F.col("_text").alias(c) if c == text_col else c for c in keep), held_out(id_col).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+        F.col("_id").alias(id_col), *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
+        *(c.alias(prefix + n) for n, c in found.items()))
 
 
 @query("op9_toxicity")

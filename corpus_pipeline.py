@@ -11,8 +11,8 @@ from boardlake.llm.base import cut, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict to be toxic."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="_tox_")
+    return scored.where(F.col("_tox_predicted") == 0).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
