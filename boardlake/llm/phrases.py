@@ -30,7 +30,7 @@ from boardlake.llm.words import splitmix
 
 TOP, LEAST, SHARE, SCALE = 2000, 10, 50, 1_000_000
 #: Bytes of text whose n-grams are counted at a time.
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 #: First step: so many times TOP pairs decide its score; each further step takes GROW times as many.
 _FIRST, _GROW = 2, 4
 _BREAK = b"."
@@ -88,36 +88,42 @@ def _sums(words: list[bytes], size: int, lang: bytes, frequent: np.ndarray | Non
 
 
 def _counter(size: int, frequent: np.ndarray | None = None, grown: np.ndarray | None = None):
-    def text_runs(langs: list, texts: list) -> Iterator[tuple[str, bytes]]:
+    def text_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        """Texts of one language, joined; what waits is a few slices at most, besides one text."""
         held: dict[str, list[bytes]] = {}
         weight: dict[str, int] = {}
-        for lang, t in zip(langs, texts, strict=True):
-            if t:
-                lang = "und" if lang is None else lang
-                held.setdefault(lang, []).append(t)
-                weight[lang] = weight.get(lang, 0) + len(t)
-                if weight[lang] > _SLICE:
-                    yield lang, b".".join(held.pop(lang))
-                    del weight[lang]
-        for lang, some in held.items():
-            yield lang, b".".join(some)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                langs, texts = whole.column(0).slice(lo, 256), whole.column(1).slice(lo, 256)
+                texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+                for lang, t in zip(langs.to_pylist(), texts.to_pylist(), strict=True):
+                    if not t:
+                        continue
+                    lang = "und" if lang is None else lang
+                    held.setdefault(lang, []).append(t)
+                    weight[lang] = weight.get(lang, 0) + len(t)
+                    if weight[lang] > _SLICE:
+                        yield lang, _BREAK.join(held.pop(lang))
+                        del weight[lang]
+                if sum(weight.values()) > 4 * _SLICE:
+                    yield from ((k, _BREAK.join(v)) for k, v in held.items())
+                    held, weight = {}, {}
+        yield from ((k, _BREAK.join(v)) for k, v in held.items())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
-            for lang, raw in text_runs(batch.column(0).to_pylist(), texts):
-                raw, tail = raw.translate(_BYTES).replace(_BREAK, b" . "), []
-                for part in _slices(raw):
-                    words = tail + part.split()
-                    tail = words[len(words) - size + 1:] if size > 1 else []
-                    phrases, h, counts = _sums(words, size, lang.encode(), frequent, grown) if len(words) >= size else ([], [], [])
-                    for lo in range(0, len(phrases), 100_000):
-                        some = phrases[lo:lo + 100_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(some)), pa.array([p.decode() for p in some], pa.string()),
-                             pa.array(h[lo:lo + 100_000].view(np.int64)), pa.array(counts[lo:lo + 100_000], pa.int64())],
-                            ["lang", "phrase", "h", "a"])
+        for lang, raw in text_runs(batches):
+            raw, tail = raw.translate(_BYTES).replace(_BREAK, b" . "), []
+            for part in _slices(raw):
+                words = tail + part.split()
+                tail = words[len(words) - size + 1:] if size > 1 else []
+                phrases, h, counts = _sums(words, size, lang.encode(), frequent, grown) if len(words) >= size else ([], [], [])
+                del words
+                for lo in range(0, len(phrases), 50_000):
+                    some = phrases[lo:lo + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(some)), pa.array(some, pa.binary()).cast(pa.string()),
+                         pa.array(h[lo:lo + 50_000].view(np.int64)), pa.array(counts[lo:lo + 50_000], pa.int64())],
+                        ["lang", "phrase", "h", "a"])
 
     return run
 
