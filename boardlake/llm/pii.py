@@ -197,8 +197,10 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
     context = docs.sparkSession.sparkContext
     small = revealing.count() <= broadcast_terms
     if small:
-        rows = sorted((r["term"] & (1 << 64) - 1, r["disclosed"] >= 1) for r in revealing.collect())
-        shared = context.broadcast((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], bool)))
+        rows = revealing.toArrow()
+        told = rows.column("term").to_numpy().view(np.uint64)
+        by = np.argsort(told)
+        shared = context.broadcast((told[by], rows.column("disclosed").to_numpy()[by] >= 1))
     else:
         shared = context.broadcast((bloom(revealing, "term", revealing.count()), None))
 
@@ -277,15 +279,16 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, counts by kind, base_sha256, spans."""
+    """Per document: id, counts by kind, base_sha256, spans, number of terms."""
     found = find_spans(docs, [id_col], text_col)
     kind = lambda b: F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1)
     said = F.transform("_base", lambda b: F.concat_ws(":", kind(b), b["start"].cast("string"), b["end"].cast("string")))
     more = F.transform("_terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
     count = lambda k: F.size(F.filter("_base", lambda b: b["kind"] == k)).cast("long")
     return found.select(
-        id_col, *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.size("_terms").cast("long").alias("n_term"),
-        F.sha2(F.array_join(said, ","), 256).alias("base_sha256"), F.array_join(F.concat(said, more), ",").alias("spans"))
+        id_col, *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        F.sha2(F.array_join(said, ","), 256).alias("base_sha256"), F.array_join(F.concat(said, more), ",").alias("spans"),
+        F.size("_terms").cast("long").alias("n_term"))
 
 
 @query("op10_pii_disclosure")
