@@ -28,7 +28,7 @@ NGRAMS = (3, 4, 5)
 BUCKET_BITS, DIMENSION, WINDOW, SHARPNESS = 18, 8, 4, 4.0
 #: Labelled rows of each class that training reads at most, and characters of all of them. The driver holds 12 bytes for each character.
 SAMPLE, SAMPLE_CHARS = 1500, 4_000_000
-#: Characters that training turns into n-grams at a time.
+#: Characters that are turned into n-grams at a time.
 FIT_CHARS = 200_000
 EPOCHS, RATE, DECAY = 45, 0.08, 1e-6
 THRESHOLD = 0.3
@@ -199,8 +199,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              threshold: float = THRESHOLD, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Per document: id, columns named in keep, held_out, score, predicted; prefix goes before the last three names."""
     model = train(docs, labels, id_col, text_col, label_col)
-    names = [f"_k{i}" for i in range(len(keep))]  # columns passed on may have any name
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    names = ["_text" if c == text_col else f"_k{i}" for i, c in enumerate(keep)]  # columns passed on may have any name
+    more = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True) if n != "_text"]
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *more)
     if isinstance(model, float):
         scored = chosen.withColumn("_score", F.lit(model))
     else:
@@ -209,9 +210,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             light, margin_of = shared.value
             for batch in batches:
-                texts = strings(batch.column("_text"))
-                parts = [light.scores(texts[lo:hi], margin_of) for lo, hi in pieces(texts)]
-                yield batch.append_column("_score", pa.array(np.concatenate(parts) if parts else np.empty(0)))
+                for lo in range(0, batch.num_rows, 1000):
+                    part = batch.slice(lo, 1000)
+                    texts = strings(part.column("_text"))
+                    found = [light.scores(texts[a:b], margin_of) for a, b in pieces(texts, FIT_CHARS)]
+                    yield part.append_column("_score", pa.array(np.concatenate(found)))
 
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
         scored = chosen.mapInArrow(score, ", ".join([*fields, "_score double"]))
