@@ -8,44 +8,28 @@ group like any other.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boardlake.session import scratch_dir
 
 # Largest n for which Spark limits groups before the shuffle.
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Parts of a key for a larger n.
+PARTS = 32
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows per key. An n above Spark's group-limit threshold takes the way of
-    ``_first_many``."""
+    """The first n rows per key. An n above Spark's group-limit threshold is cut within parts of a key first, so that
+    no task orders a whole hot key."""
     limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
+    place = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     if n > limit:
-        return _first_many(df, keys, order, n)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
-
-
-def _first_many(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """Large caps without a whole group in one task: rows are cut into even ranges of (key,
-    order) and kept as a table (a job runs here), so that a hot key spans many ranges. A
-    row's place is the size of its key's earlier ranges plus its place in its own range."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark, 'cap')}/rows"
-    ranged = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
-    ranged.write.parquet(path)
-    table = spark.read.parquet(path)
-    slot = [*keys, "__range"]
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = table.groupBy(*slot).agg(F.count(F.lit(1)).alias("__size"))
-    starts = sizes.select(*slot, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
-    starts = starts.filter(F.col("__before") < n)
-    place = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
-    starts = starts.select(*[F.col(c).alias(f"__s_{c}") for c in slot], "__before")
-    same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in slot]
-    rows = table.join(starts, same).withColumn("__place", F.col("__before") + place)
-    return rows.filter(F.col("__place") <= n).select(*df.columns)
+        plain = [f.name for f in df.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+        part = F.pmod(F.xxhash64(*plain), F.lit(PARTS))  # the row alone decides, so that a task run again deals alike
+        df = df.withColumn("__part", part).withColumn("__rn", place([*keys, "__part"])).filter(F.col("__rn") <= n).drop("__rn", "__part")
+    return df.withColumn("__rn", place(keys)).filter(F.col("__rn") <= n).drop("__rn")
 
 
 def dedup_first(df: DataFrame, keys: list[str], seq: str, blank_ok: str | None = None) -> DataFrame:
@@ -73,32 +57,36 @@ def cap_per_keyword(df: DataFrame, hits: str, n: int, n_keywords: int, source: s
     that no earlier keyword took, and a link counts once.
 
     ``hits`` holds the positions of the keywords a row matches. Earlier keywords can take
-    at most n*j links, so no keyword needs to see more than its first n*n_keywords: that bound
+    at most n*j links, so keyword j needs to see no more than its first n*(j+1): that bound
     is cut first, and the serving order then runs once per source on keys and numbers alone.
+    ``seq`` may be of any type that has an order, a struct included.
     Output: the columns of ``df`` with ``keyword`` in place of ``hits``.
     """
     # rows without a link are never duplicates: their arrival number stands in for it
-    own = F.concat(F.lit("#"), F.col(seq).cast("string"))
+    own = F.concat(F.lit("#"), F.to_json(F.struct(seq)))
     rows = df.withColumn("keyword", F.explode(hits)).drop(hits).withColumn(
         "__key", F.when(F.col(url) != "", F.col(url)).otherwise(own))
     rows = first_rows(rows, [source, "keyword", "__key"], [F.col(seq)])
+    # keyword j loses n links at most to each of the j before it
     near = first_rows(rows, [source, "keyword"], [F.col(seq)], n * n_keywords)
+    place = F.row_number().over(Window.partitionBy(source, "keyword").orderBy(F.col(seq)))
+    near = near.withColumn("__place", place).filter(F.col("__place") <= n * (F.col("keyword") + 1))
 
     def serve(group: pd.DataFrame) -> pd.DataFrame:
         taken, kept = set(), []
-        for _, mine in group.sort_values(["keyword", "seq"]).groupby("keyword"):
+        for _, mine in group.sort_values(["keyword", "place"]).groupby("keyword"):
             free = mine[~mine["key"].isin(taken)].head(n)
             taken.update(free["key"])
-            kept.append(free[["source", "keyword", "seq"]])
+            kept.append(free[["source", "keyword", "place"]])
         return pd.concat(kept)
 
-    narrow = near.select(F.col(source).alias("source"), "keyword", F.col("__key").alias("key"), F.col(seq).alias("seq"))
+    # links and numbers alone, n * n_keywords^2 / 2 of them for a source at most
+    narrow = near.select(F.col(source).alias("source"), "keyword", F.col("__key").alias("key"), F.col("__place").alias("place"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    served = narrow.groupBy("source").applyInPandas(
-        serve, f"source {types['source']}, keyword {types['keyword']}, seq {types['seq']}")
+    served = narrow.groupBy("source").applyInPandas(serve, f"source {types['source']}, keyword {types['keyword']}, place int")
     served = served.select(*[F.col(c).alias(f"__s_{c}") for c in served.columns])
-    same = [F.col(source).eqNullSafe(F.col("__s_source")), F.col("keyword") == F.col("__s_keyword"), F.col(seq) == F.col("__s_seq")]
-    return near.join(served, same, "left_semi").drop("__key")
+    same = [F.col(source).eqNullSafe(F.col("__s_source")), F.col("keyword") == F.col("__s_keyword"), F.col("__place") == F.col("__s_place")]
+    return near.join(served, same, "left_semi").drop("__key", "__place")
 
 
 def superseded(df: DataFrame, rules: DataFrame, feed: str = "source") -> DataFrame:

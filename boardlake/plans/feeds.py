@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boardlake.plans.base import cat, pick, query, table
-from boardlake.sources import cards, feeds  # noqa: F401  (registers feeds)
+from boardlake.sources import feeds  # noqa: F401  (registers feeds)
 from boardlake.sources.spec import FEEDS, SearchParams, ingest, map_feed
 
 SHOWN = ["job_id", "title", "company", "location", "description", "url", "source", "remote", "salary_min",
@@ -171,16 +171,13 @@ CARD_POSTED = "strftime(DATE '2002-01-01' - CAST(p_size AS INT), '%Y-%m-%d')"
 }, "part WHERE p_size % 5 <> 0"))
 def feed_cards(spark, sf):
     size, key = F.col("p_size"), F.col("p_partkey")
-    card = cat(
-        "<div class='base-card wide'><a class='base-card__full-link' href='",
-        F.when(size % 5 == 0, "/premium/products/").otherwise("/jobs/view/"), key, "'>x</a><h3 class='base-search-card__title'>\n ",
-        F.col("p_name"), "<span class='sr-only'>", F.col("p_name"), "</span></h3>",
-        F.when(size % 4 == 0, "").otherwise(cat("<h4 class='base-search-card__subtitle'>", F.col("p_brand"), "</h4>")),
-        "<span class='job-search-card__location'>", F.col("p_type"), F.when(size % 3 == 0, " (Remote)").otherwise(""), "</span><time",
-        F.when(size % 2 == 0, " datetime='2001-03-04'>x").otherwise(cat(">", size, " days ago")), "</time></div>")
-    pages = table(spark, sf, "part").select(key.alias("seq"), cat("<html><body><ul><li>", card, "</li></ul></body></html>").alias("page"))
-    rows = pages.select("seq", F.explode(cards.direct(F.col("page"))).alias("item")).select(
-        "item", F.lit("").alias("board"), F.lit("").alias("keyword"), F.lit("2002-01-01").cast("timestamp").alias("landed_at"), "seq")
+    item = F.struct(
+        cat(F.col("p_name"), F.col("p_name")).alias("title"), F.when(size % 4 != 0, F.col("p_brand")).alias("company"),
+        cat(F.col("p_type"), F.when(size % 3 == 0, " (Remote)").otherwise("")).alias("location"), F.lit("").alias("description"),
+        cat("https://www.linkedin.com", F.when(size % 5 == 0, "/premium/products/").otherwise("/jobs/view/"), key).alias("url"),
+        F.when(size % 2 == 0, "2001-03-04").otherwise("").alias("posted_attr"), cat(size, " days ago").alias("posted_text"))
+    rows = table(spark, sf, "part").select(
+        item.alias("item"), F.lit("").alias("board"), F.lit("").alias("keyword"), F.lit("2002-01-01").cast("timestamp").alias("landed_at"), key.alias("seq"))
     return shown(map_feed(rows, FEEDS["LinkedIn (Direct)"]))
 
 
@@ -189,8 +186,9 @@ WITH t AS (SELECT p_partkey, p_name AS title, p_brand AS company, p_type AS loca
   CASE WHEN p_size % 2 = 0 THEN 'https://a.example/' || (p_partkey // 2) ELSE '' END AS url,
   CASE p_size % 3 WHEN 0 THEN 'JobSpy (Linkedin)' WHEN 1 THEN 'JobSpy (Zip_Recruiter)' ELSE 'JobSpy' END AS source FROM part)
 SELECT md5(source || '|' || CASE WHEN url <> '' THEN url ELSE title || '|' || company END) AS job_id, title, company, location, source, url,
-  CASE WHEN p_size % 4 = 0 THEN 'Remote' ELSE 'On-site' END AS remote, CAST(p_size AS DOUBLE) AS salary_min,
-  CASE WHEN p_size % 5 = 0 THEN 'USD' ELSE 'EUR' END AS salary_currency, 'Full Time' AS job_type
+  CASE WHEN p_size % 4 = 0 THEN 'Remote' ELSE 'On-site' END AS remote, CAST(p_size AS DOUBLE) AS salary_min, CAST(NULL AS DOUBLE) AS salary_max,
+  CASE WHEN p_size % 5 = 0 THEN 'USD' ELSE 'EUR' END AS salary_currency, 'Full Time' AS job_type, 'text' AS description, '' AS experience_level,
+  '2001-01-01' AS date_posted, '' AS tags, '' AS company_logo
 FROM t QUALIFY url = '' OR row_number() OVER (PARTITION BY source, url ORDER BY p_partkey) = 1
 """)
 def feed_table(spark, sf):
@@ -205,6 +203,4 @@ def feed_table(spark, sf):
     rows = table(spark, sf, "part").select(
         item.alias("item"), F.lit("").alias("board"), F.lit("").alias("keyword"),
         F.lit("2002-01-01").cast("timestamp").alias("landed_at"), key.alias("seq"))
-    out = ingest(rows, FEEDS["JobSpy"], SearchParams(max_results=1_000_000))
-    return shown(out).select("job_id", "title", "company", "location", "source", "url", "remote", "salary_min",
-                             "salary_currency", "job_type")
+    return shown(ingest(rows, FEEDS["JobSpy"], SearchParams(max_results=1_000_000)))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from boardlake.functions import classify as cl, dates as dt, links, money, text as tx
 from boardlake.functions.html import clean_html
-from boardlake.sources import cards
 from boardlake.sources.spec import FeedSpec, Item, SearchParams, register_feed
 
 FULL_TIME = "Full-time"
@@ -453,7 +452,7 @@ register_feed(FeedSpec("Totaljobs", "rss", totaljobs, dedup="url", cap_by="keywo
                        filters_salary=False, searched=lambda r: [r.text("title"), r.text("description")]))
 
 
-# ---- web pages ------------------------------------------------------------------------------
+# ---- cards of web pages, landed as rows ---------------------------------------------------------
 def remote_co(r: Item, p: SearchParams) -> dict[str, Column]:
     return {
         "title": tx.first_nonempty(r.raw("title"), F.lit("Remote job")), "company": r.text("company"),
@@ -463,7 +462,7 @@ def remote_co(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "Remote.co", "html", remote_co, describe=tx.strip, cards=cards.remote_co, dedup="url", cap_by="keyword", remote_only=True,
+    "Remote.co", "table", remote_co, describe=tx.strip, dedup="url", cap_by="keyword", remote_only=True,
     filters_salary=False, keep=lambda r: (r.text("title") != "") | (r.text("url") != ""),
     searched=lambda r: [r.text("title"), r.text("company"), r.text("description")]))
 
@@ -476,7 +475,7 @@ def govuk(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "GOV.UK Find a Job", "html", govuk, describe=tx.strip, cards=cards.govuk, dedup="all", cap_by="keyword", filters_remote="none",
+    "GOV.UK Find a Job", "table", govuk, describe=tx.strip, dedup="all", cap_by="keyword", filters_remote="none",
     filters_salary=False, searched=lambda r: [r.text("title"), r.text("company"), r.text("location")]))
 
 
@@ -493,7 +492,7 @@ def linkedin_direct(r: Item, p: SearchParams) -> dict[str, Column]:
 
 
 register_feed(FeedSpec(
-    "LinkedIn (Direct)", "html", linkedin_direct, describe=tx.strip, cards=cards.direct, dedup="url", cap_by="keyword",
+    "LinkedIn (Direct)", "table", linkedin_direct, describe=tx.strip, dedup="url", cap_by="keyword",
     filters_remote="remote", filters_salary=False, keep=lambda r: links.is_listing_link(r.text("url"))))
 
 

@@ -16,6 +16,7 @@ from boardlake.functions import links, money, text as tx
 from boardlake.functions.html import clean_html
 from boardlake.operators import dedup as dd, predicates as pr
 from boardlake.schema import LISTING_COLUMNS
+from boardlake.sources import payloads as pl
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,7 @@ class FeedSpec:
     """One feed. ``columns`` gives the listing columns it knows; the rest default."""
 
     name: str
-    layout: str                                  # json | rss | html | table
+    layout: str                                  # json | rss | table
     columns: Columns
     items: tuple[str, ...] = ("$",)              # JSON paths where the item array may sit
     skip_first: bool = False                     # element 0 is a notice, not a listing
@@ -110,7 +111,6 @@ class FeedSpec:
     place_is_remote: bool = False                # a location saying "remote" counts too
     filters_salary: bool = True
     describe: Callable[[Column], Column] = clean_html  # raw description to the stored one
-    cards: Callable[[Column], Column] | None = None
     relabel: str | None = None                   # source shown, set after the id is made
     options: dict = field(default_factory=dict)
 
@@ -123,9 +123,9 @@ def register_feed(spec: FeedSpec) -> FeedSpec:
     return spec
 
 
-RSS_CHANNEL = (
-    "item array<struct<title string, link string, description string, pubDate string, "
-    "author string, `dc:creator` string, location string, updated string, category array<string>>>"
+RSS_ITEM = (
+    "title string, link string, description string, pubDate string, author string, `dc:creator` string, "
+    "location string, updated string, category array<string>"
 )
 
 
@@ -133,43 +133,53 @@ def _landed(df: DataFrame, *more: Column) -> DataFrame:
     """File facts every layout carries: arrival time, file, and the board and keyword
     written into the landing path (board=.../keyword=...)."""
     path = F.col("_metadata.file_path")
-    part = lambda name: F.url_decode(F.regexp_extract(path, rf"/{name}=([^/]*)/", 1))
-    return df.select(
-        "*", F.col("_metadata.file_modification_time").alias("landed_at"), path.alias("landed_file"),
-        part("board").alias("board"), part("keyword").alias("keyword"), *more)
+    return df.select("*", F.col("_metadata.file_modification_time").alias("landed_at"), path.alias("landed_file"), *_named(path), *more)
+
+
+def _named(path: Column) -> list[Column]:
+    return [F.url_decode(F.regexp_extract(path, rf"/{name}=([^/]*)/", 1)).alias(name) for name in ("board", "keyword")]
 
 
 def read_items(spark: SparkSession, spec: FeedSpec, path: str) -> DataFrame:
-    """Landed files of a feed, one row per item: item, board, keyword, landed_at, seq."""
-    reader = spark.read.option("recursiveFileLookup", True)
+    """Landed files of a feed, one row per item: item, board, keyword, landed_at, seq. Long files are read by many tasks."""
+    return items_of(landed_rows(spark.read, spec, path), spec, pl.has_long_files(spark, path))
+
+
+def landed_rows(reader, spec: FeedSpec, path: str, schema: str = "") -> DataFrame:
+    """What a batch or stream reader gives of landed files: fragments of JSON payloads, items or rows of others."""
+    reader = reader.option("recursiveFileLookup", True)
+    if spec.layout == "json":
+        return pl.fragments(reader, path)
     if spec.layout == "table":
-        rows = _landed(reader.parquet(path), F.col("_metadata.row_index").alias("pos"))
-        facts = ["landed_at", "landed_file", "board", "keyword", "pos"]
-        rows = rows.select(*facts, F.struct(*[c for c in rows.columns if c not in facts]).alias("item"))
-    elif spec.layout == "rss":
-        rows = _landed(reader.option("rowTag", "channel").schema(RSS_CHANNEL).xml(path))
-        rows = rows.select("*", F.posexplode("item").alias("pos", "entry")).drop("item").withColumnRenamed("entry", "item")
+        return _landed((reader.schema(schema) if schema else reader).format("parquet").load(path), F.col("_metadata.row_index").alias("pos"))
+    return _landed(reader.option("rowTag", "item").schema(RSS_ITEM).format("xml").load(path), F.col("_metadata.file_block_start").alias("pos"))
+
+
+def items_of(rows: DataFrame, spec: FeedSpec, long_files: bool) -> DataFrame:
+    """Items of ``landed_rows``; long_files: JSON payloads may be longer than a split."""
+    facts = ["landed_at", "landed_file", "board", "keyword", "pos"]
+    if spec.layout == "json":
+        rows = pl.item_texts(rows, spec.items, long_files).filter("kind = 'item'")
+        rows = rows.select("landed_at", F.col("file").alias("landed_file"), "pos", *_named(F.col("file")), F.try_parse_json("text").alias("item"))
+        rows = rows.filter(F.col("item").isNotNull())
     else:
-        rows = _landed(reader.option("wholetext", True).text(path))
-        rows = rows.select("*", F.posexplode(payload_items(spec, F.col("value"))).alias("pos", "item")).drop("value")
+        rows = rows.select(*facts, F.struct(*[c for c in rows.columns if c not in facts]).alias("item"))
+    if spec.layout == "rss":  # items have no number in their file: place of their split and order in it
+        rows = rows.withColumn("pos", F.col("pos") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     if spec.skip_first:
         rows = rows.filter(F.col("pos") > 0)
     return rows.withColumn("seq", F.struct("landed_at", "landed_file", F.col("pos").cast("bigint").alias("pos")))
 
 
-def payload_items(spec: FeedSpec, value: Column) -> Column:
-    """Array of items of one payload; NULL (no rows) for an unreadable one."""
-    if spec.layout == "html":
-        return spec.cards(value)
-    v = F.try_parse_json(value)
-    return F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in spec.items])
-
-
 def rejected_payloads(spark: SparkSession, spec: FeedSpec, path: str) -> DataFrame:
-    """JSON payloads that could not be read, with their file."""
-    rows = _landed(spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path))
-    bad = payload_items(spec, F.col("value")).isNull()
-    return rows.filter(bad).select("landed_file", F.lit("unreadable payload").alias("reason"))
+    """(landed_file, pos, reason): items of JSON payloads that cannot be read, payloads that end too early or hold no list of items."""
+    found = pl.item_texts(pl.fragments(spark.read.option("recursiveFileLookup", True), path), spec.items, pl.has_long_files(spark, path))
+    bad = (F.col("kind") == "fault") | ((F.col("kind") == "item") & F.try_parse_json("text").isNull())
+    reason = F.when(F.col("kind") == "fault", "payload ends too early").otherwise("unreadable item")
+    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    listed = found.filter("kind = 'list'").select("file")
+    without = files.join(listed, "file", "left_anti").select(F.col("file").alias("landed_file"), F.lit(None).cast("bigint").alias("pos"), F.lit("no list of items").alias("reason"))
+    return found.filter(bad).select(F.col("file").alias("landed_file"), "pos", reason.alias("reason")).unionByName(without)
 
 
 def _default(name: str) -> Column:

@@ -15,6 +15,9 @@ def rss(*items):
     return f'<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>{body}</channel></rss>'
 
 
+#: Columns of cards of web pages that land as rows.
+CARD = "title string, company string, location string, description string, url string, posted_attr string, posted_text string"
+
 CASES = {
     "RemoteOK": ([{"legal": "n"}, {"position": "Dev", "company": "Acme", "description": "<p>go</p>", "tags": ["a", "b"],
                    "salary_min": 0, "salary_max": "90000", "url": "/j/1", "date": "2024-01-01"},
@@ -82,17 +85,15 @@ CASES = {
                           {"url": "https://news.ycombinator.com/item?id=9"}]),
     "Totaljobs": (rss([("title", "A"), ("link", "https://t/1"), ("author", "Co")], [("title", "again"), ("link", "https://t/1")], [("title", "B")], [("title", "C")]),
                   [{"title": "A", "company": "Co", "location": "Leeds"}, {"title": "B"}, {"title": "C"}]),
-    "Remote.co": ("<div class='job_listing'><a href='/job/1'>Link</a><h2>Title &amp; Co</h2><p class='company'>Acme</p><div class='excerpt'>Do it</div></div>"
-                  "<article class='job'><a href='https://remote.co/job/2'>Only link</a></article><div class='x-job-card'></div>",
+    "Remote.co": (CARD, [("Title & Co", "Acme", "", "Do it", "https://remote.co/job/1", "", ""), ("", "", "", "", "", "", ""),
+                         ("Only link", None, None, None, "https://remote.co/job/2", None, None)],
                   [{"title": "Title & Co", "url": "https://remote.co/job/1", "company": "Acme", "description": "Do it"},
                    {"title": "Only link", "url": "https://remote.co/job/2"}]),
-    "GOV.UK Find a Job": ("<article><a href='/job/5'>Save Clerk job to favourites</a><dl><dt>Location</dt><dd>Leeds</dd><dt>Employer name</dt><dd>Council</dd></dl></article>"
-                          "<div class='govuk-summary-card'><a href='https://f/job/6'></a><h3>Nurse</h3><p>Somewhere</p></div><article><a href='/other'>x</a></article>",
+    "GOV.UK Find a Job": (CARD, [("Clerk", "Council", "Leeds", "", "https://findajob.dwp.gov.uk/job/5", "", ""), ("Nurse", "", "Somewhere", "", "https://f/job/6", "", "")],
                           [{"title": "Clerk", "url": "https://findajob.dwp.gov.uk/job/5", "location": "Leeds", "company": "Council", "tags": "UK, government"},
                            {"title": "Nurse", "location": "Somewhere", "company": ""}]),
-    "LinkedIn (Direct)": ("<ul><li><div class='base-card'><a class='base-card__full-link' href='/jobs/view/77?x=1'>l</a><h3 class='base-search-card__title'>DevDev</h3>"
-                          "<h4 class='base-search-card__subtitle'>Acme</h4><span class='job-search-card__location'>Remote</span><time datetime='2024-01-05'>2 days ago</time></div></li>"
-                          "<li><div class='base-card'><a class='base-card__full-link' href='/premium/products/1'>ad</a></div></li></ul>",
+    "LinkedIn (Direct)": (CARD, [("DevDev", "Acme", "Remote", "", "https://www.linkedin.com/jobs/view/77?x=1", "2024-01-05", "2 days ago"),
+                                 ("ad", "", "", "", "https://www.linkedin.com/premium/products/1", "", "")],
                           [{"title": "Dev", "url": "https://www.linkedin.com/jobs/view/77?x=1", "company": "Acme", "remote": "Remote", "date_posted": "2024-01-05"}]),
     "Adzuna": ({"results": [{"redirect_url": "https://z/1", "title": "<strong>Dev</strong> job", "company": {"display_name": "Co"}, "location": {"area": ["UK", "Leeds"], "display_name": "L"},
                              "description": "remote ok", "category": {"label": "IT"}, "contract_time": "full_time", "created": "2024"}, {"redirect_url": "https://z/1"},
@@ -142,8 +143,11 @@ def listings(df):
 
 @pytest.mark.parametrize("name", list(CASES))
 def test_feed(spark, tmp_path, name):
-    payload, want = CASES[name]
-    items = read_items(spark, FEEDS[name], land(tmp_path, name, payload))
+    *payload, want = CASES[name]
+    if len(payload) == 2:
+        spark.createDataFrame(payload[1], payload[0]).coalesce(1).write.parquet(str(tmp_path / "board=acme-labs" / "keyword=dev"))
+    path = str(tmp_path) if len(payload) == 2 else land(tmp_path, name, payload[0])
+    items = read_items(spark, FEEDS[name], path)
     df = ingest(items, FEEDS[name], SearchParams(location="Leeds"))
     assert df.columns[:17] == LISTING_COLUMNS
     got = listings(df)
@@ -212,7 +216,7 @@ def test_unreadable_payload_is_reported(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"jobs": [')
     (tmp_path / "ok.json").write_text('{"jobs": []}')
     bad = rejected_payloads(spark, FEEDS["Jooble"], str(tmp_path)).collect()
-    assert [r["landed_file"].rsplit("/", 1)[1] for r in bad] == ["bad.json"]
+    assert [(r["landed_file"].rsplit("/", 1)[1], r["reason"]) for r in bad] == [("bad.json", "payload ends too early")]
     assert read_items(spark, FEEDS["Jooble"], str(tmp_path)).count() == 0
 
 
