@@ -38,6 +38,55 @@ def stream_dedup_watermark(spark, sf):
     return spark.read.parquet(f"{work}/table")
 
 
+# ---- keys that are kept again after their state has gone ---------------------------------------
+SLOT = "CAST(floor((epoch(CAST(CAST(ts AS DATE) AS TIMESTAMP)) - epoch(TIMESTAMP '2024-01-01')) / 172800) AS BIGINT)"
+LANDS_SQL = f"""
+e AS (SELECT event_id, user_id, event_type, {SLOT} AS slot FROM events),
+l AS (SELECT *, CASE WHEN event_id % 20 = 0 AND slot + 5 <= (SELECT max(slot) FROM e) THEN slot + 5 ELSE slot END AS lands FROM e)"""
+
+
+def landed_late(spark, sf):
+    """Events in files of two days each, the files in the order of their days; one event in twenty lands ten days late."""
+    work = scratch_dir(spark, "expiry")
+    e = table(spark, sf, "events")
+    slot = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 2).cast("bigint")
+    e = e.select("event_id", "user_id", "event_type", slot.alias("slot"))
+    e = e.withColumn("at", F.timestamp_add("DAY", (F.col("slot") * 2).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+    last = e.agg(F.max("slot")).first()[0] or 0
+    lands = F.when((F.col("event_id") % 20 == 0) & (F.col("slot") + 5 <= last), F.col("slot") + 5).otherwise(F.col("slot"))
+    e.withColumn("lands", lands).repartition("lands").write.partitionBy("lands").parquet(f"{work}/landed")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(f"{work}/landed")
+    files = root.getFileSystem(conf)
+    for folder in files.listStatus(root):
+        if (name := folder.getPath().getName()).startswith("lands="):
+            for f in files.listStatus(folder.getPath()):
+                files.setTimes(f.getPath(), 1_700_000_000_000 + 60_000 * int(name[6:]), -1)
+    stream = ig.read_landing(spark, f"{work}/landed", e.schema, files_per_batch=1, recursiveFileLookup="true", maxFileAge="36500d")
+    return stream, work
+
+
+@query("stream_dedup_expiry", f"""
+WITH RECURSIVE {LANDS_SQL}, k AS (SELECT DISTINCT user_id, event_type, slot FROM l WHERE lands = slot),
+ a AS (SELECT user_id, event_type, min(slot) AS slot FROM k GROUP BY ALL
+   UNION ALL SELECT * FROM (SELECT a.user_id, a.event_type, min(k.slot) AS slot FROM a JOIN k ON k.user_id = a.user_id AND k.event_type = a.event_type AND k.slot >= a.slot + 6 GROUP BY ALL))
+SELECT user_id, event_type, slot FROM a
+""")
+def stream_dedup_expiry(spark, sf):
+    """First arrivals with a watermark of four days: a key comes back when its state is gone."""
+    stream, work = landed_late(spark, sf)
+    ig.run_dedup(stream.select("user_id", "event_type", "slot", "at"), ["user_id", "event_type"], "at", "4 days", f"{work}/table", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/table").select("user_id", "event_type", "slot")
+
+
+@query("stream_dedup_late", f"WITH {LANDS_SQL} SELECT count(*) AS late FROM l WHERE lands > slot")
+def stream_dedup_late(spark, sf):
+    """Rows that land when their time has passed are counted apart."""
+    stream, work = landed_late(spark, sf)
+    late = ig.run_dedup(stream.select("user_id", "event_type", "at"), ["user_id", "event_type"], "at", "4 days", f"{work}/table", f"{work}/checkpoint")
+    return spark.createDataFrame([(late,)], "late long")
+
+
 @query("stream_counts", "SELECT event_type AS source, count(*) AS cnt FROM events GROUP BY event_type")
 def stream_counts(spark, sf):
     work = scratch_dir(spark, "counts")

@@ -43,6 +43,24 @@ def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Dat
     return _event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def run_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str, path: str, checkpoint: str) -> int:
+    """``dedup_stream`` over what has landed, into a table; returns how many rows came too late to be judged.
+
+    A key is kept again once its state is gone: the watermark has then passed the key's last keeping by twice the delay.
+    """
+    query = (dedup_stream(stream, keys, ts, delay).writeStream.format("parquet").option("path", path)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    late, seen = 0, set()
+    while True:
+        over = query.awaitTermination(1)
+        for p in query.recentProgress:  # Spark keeps the last hundred
+            if (number := p["batchId"]) not in seen and p["stateOperators"]:
+                seen.add(number)
+                late += sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
+        if over:
+            return late
+
+
 def stream_counts(stream: DataFrame, by: list[str], ts: str | None = None,
                   window: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Live counters per source; with ``window`` per source and time slice."""
