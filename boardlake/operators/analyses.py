@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from boardlake.functions import analysis_json as aj
 from boardlake.functions.text import strip
+from boardlake.operators.board import sort_keys
 from boardlake.operators.marks import flags
 from boardlake.operators.paging import page
+from boardlake.operators.predicates import fulltext
 from boardlake.schema import MARK_KINDS
 
 MAX_LIMIT, DEFAULT_LIMIT = 200, 50
@@ -125,6 +127,18 @@ def analyses_rows(analyses: DataFrame, listings: DataFrame, prompts: DataFrame,
     )
 
 
+def analyses_total(analyses: DataFrame, listings: DataFrame, **filters) -> DataFrame:
+    """How many analyses the filtered list has over all pages (column total): the joins that merely decorate are left out."""
+    rows = analyses.join(listings.select("job_id", "title", "company"), "job_id")
+    return analyses_filter(rows, **filters).agg(F.count(F.lit(1)).alias("total"))
+
+
+def notes_list(notes: DataFrame, query: str = "", sort_by: str = "updated_at", ascending: bool = False, key: str = "note_id") -> DataFrame:
+    """All notes (title, body, created_at, updated_at), or those with every word beginning of the query, in a whitelisted order."""
+    found = notes.filter(fulltext([F.col("title"), F.col("body")], query)) if query.strip() else notes
+    return found.orderBy(*sort_keys(sort_by, "asc" if ascending else "desc", "notes", key))
+
+
 def analyses_list(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """One page, newest first."""
     keys = [F.col("analysed_at").desc(), F.col("job_id"), F.col("prompt_id")]

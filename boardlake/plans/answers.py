@@ -217,6 +217,40 @@ def analyses_list(spark, sf):
     return page.select(*LISTED, stamp("analysed_at").alias("analysed_at"))
 
 
+@query("analyses_total", f"""
+WITH {ROWS_SQL}
+SELECT count(*) AS total FROM r WHERE CAST(json_extract_string(result, '$.match_score') AS INT) >= 5 AND json_extract_string(result, '$.recommendation') IN ('apply', 'maybe')
+""")
+def analyses_total(spark, sf):
+    return an.analyses_total(analyses(spark, sf), customer_board(spark, sf), min_score=5, recommendations=["apply", "maybe"])
+
+
+NOTES_SQL = "SELECT conv_id * 1000 + turn AS note_id, role || ' ' || (conv_id % 10) AS title, text AS body, conv_id % 7 AS created_at, turn AS updated_at FROM conversations"
+
+
+def _notes(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.concat("role", F.lit(" "), (F.col("conv_id") % 10).cast("string")).alias("title"),
+        F.col("text").alias("body"), (F.col("conv_id") % 7).alias("created_at"), F.col("turn").alias("updated_at"))
+
+
+@query("notes_list", f"""
+WITH n AS ({NOTES_SQL})
+SELECT * FROM (SELECT 'updated' AS shown, note_id, title FROM n ORDER BY updated_at DESC, note_id LIMIT 50)
+UNION ALL SELECT * FROM (SELECT 'title', note_id, title FROM n ORDER BY title, note_id LIMIT 50)
+UNION ALL SELECT * FROM (SELECT 'created', note_id, title FROM n WHERE regexp_matches(lower(title || ' ' || body), '(?:^|[^\\p{{L}}\\p{{N}}])user')  ORDER BY created_at DESC, note_id LIMIT 50)
+""")
+def notes_list(spark, sf):
+    """The first notes of three lists: the default order, an order asked for, and one with a search."""
+    lists = {"updated": an.notes_list(_notes(spark, sf), sort_by="no such column"), "title": an.notes_list(_notes(spark, sf), sort_by="title", ascending=True),
+             "created": an.notes_list(_notes(spark, sf), "user", "created_at")}
+    out = None
+    for name, rows in lists.items():
+        page = rows.limit(50).select(F.lit(name).alias("shown"), "note_id", "title")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 @query("analyses_text_search", f"""
 WITH {ROWS_SQL}
 SELECT job_id, prompt_id FROM r WHERE contains(lower(title), 'build') OR contains(lower(company), 'build') OR contains(lower(result), 'build')
