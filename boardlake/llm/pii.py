@@ -25,8 +25,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from boardlake.llm.base import bloom, cut, in_bloom, pieces, query, strings, table
 from boardlake.llm.words import Words, lowered, split_words, splitmix
@@ -191,8 +193,11 @@ _SPAN = "array<struct<start:int,end:int,all:boolean>>"
 _FOUND = "_base array<struct<kind:int,start:int,end:int>>, _terms array<struct<term:bigint,start:int,end:int,all:boolean>>"
 
 
-def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """Columns named in keep, _base (kind, start, end) and _terms (start, end, all: it tells all) of every document."""
+def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS, cleaned: bool = False) -> DataFrame:
+    """Columns named in keep, _base (kind, start, end) and _terms (start, end, all: it tells all) of every document.
+
+    cleaned: with _clean, the text without what was found, by the same pass wherever the terms are known in it.
+    """
     revealing = revealing_terms(docs, text_col)
     context = docs.sparkSession.sparkContext
     small = revealing.count() <= broadcast_terms
@@ -229,22 +234,30 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
                     named.append([{"term": t, "start": a, "end": b, "all": c} for t, a, b, c in zip(
                         h[k][free].astype(np.int64).tolist(), s[free].tolist(), e[free].tolist(), told[own[i]:own[i + 1]][free].tolist(), strict=True)])
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base]
+            made = []
+            if cleaned:
+                valid = batch.column("_text").is_valid().to_pylist()
+                made = [pa.array([(clean(t, b, f) if small and (b or f) else t) if v else None
+                                  for t, b, f, v in zip(texts, spans, named, valid, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep_as), pa.array(spans, base_type), pa.array(named, term_type)], names=[*keep_as, "_base", "_terms"])
+                [*(batch.column(c) for c in keep_as), pa.array(spans, base_type), pa.array(named, term_type), *made],
+                names=[*keep_as, "_base", "_terms", *["_clean"] * cleaned])
 
     chosen = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     keep_as = [f"_k{i}" for i in range(len(keep))]
     fields = [f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(keep_as, keep, strict=True)]
-    found = chosen.mapInArrow(find, ", ".join([*fields, _FOUND]))
+    found = chosen.mapInArrow(find, ", ".join([*fields, _FOUND, *["_clean string"] * cleaned]))
     if not small:
         found = cut(found.withColumn("_row", F.monotonically_increasing_id()), "found")
         exact = found.select("_row", F.explode("_terms").alias("t")).select("_row", "t.term", "t.start", "t.end").join(revealing, "term")
         exact = exact.groupBy("_row").agg(F.sort_array(F.collect_list(
             F.struct("start", "end", (F.col("disclosed") >= 1).alias("all")))).alias("_exact"))
         found = found.join(exact, "_row", "left").withColumn("_terms", F.coalesce("_exact", F.array().cast(_SPAN)))
+        if cleaned:
+            found = found.withColumn("_clean", F.when((F.size("_base") > 0) | (F.size("_terms") > 0), _cleaned("_clean", "_base", "_terms")).otherwise(F.col("_clean")))
     else:
         found = found.withColumn("_terms", F.transform("_terms", lambda t: F.struct(t["start"], t["end"], t["all"])).cast(_SPAN))
-    return found.select(*(F.col(a).alias(c) for a, c in zip(keep_as, keep, strict=True)), "_base", "_terms")
+    return found.select(*(F.col(a).alias(c) for a, c in zip(keep_as, keep, strict=True)), "_base", "_terms", *["_clean"] * cleaned)
 
 
 def _shape(term: str) -> str:
@@ -264,18 +277,15 @@ def clean(text: str, base: list[dict], found: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data and revealing terms replaced in their texts; null texts stay null."""
-    @F.pandas_udf("string")
-    def cleaned(text, base, found):  # noqa: ANN001, ANN202
-        import pandas as pd
+@F.pandas_udf(StringType())
+def _cleaned(text: pd.Series, base: pd.Series, found: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None else clean(t, b, f) for t, b, f in zip(text, base, found, strict=True)], dtype=object)
 
-        return pd.Series([t if t is None else clean(t, b, f) for t, b, f in zip(text, base, found, strict=True)], dtype=object)
 
-    found = find_spans(docs, docs.columns, text_col)
-    touched = (F.size("_base") > 0) | (F.size("_terms") > 0)
-    new = F.when(touched, cleaned(F.col(text_col), "_base", "_terms")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, new).select(*docs.columns)
+def sanitise(docs: DataFrame, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """docs with personal data and revealing terms replaced in their texts; null texts stay null."""
+    found = find_spans(docs, [c for c in docs.columns if c != text_col], text_col, broadcast_terms, cleaned=True)
+    return found.withColumnRenamed("_clean", text_col).select(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

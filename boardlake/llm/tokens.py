@@ -19,7 +19,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from boardlake.llm.base import no_threads, ragged
 
 #: Texts, and bytes of them, in a run at most.
-_RUN, _RUN_BYTES = 20_000, 4_000_000
+_RUN, _RUN_BYTES = 20_000, 2_000_000
 
 END_ID = 2
 _MARKS = ".,;:!?"
@@ -64,7 +64,7 @@ class _Slots(dict):
 class TextEncoder:
     """encode(texts) gives the ids that the library gives, without special tokens. keep: pieces remembered."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 500_000):
         no_threads()
         self.lib = Tokenizer.from_file(path)
         vocab = self.lib.get_vocab(with_added_tokens=True)

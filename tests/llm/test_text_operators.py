@@ -414,9 +414,10 @@ def test_terms_that_reveal_an_entity(spark, monkeypatch, most):
     assert math.log2(len(texts) * n / (n * of)) / math.log2(len(texts) / of) == 1
 
 
-def test_sanitise(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_sanitise(spark, most):
     docs = documents(spark, revealing_corpus())
-    out = pii.sanitise(docs)
+    out = pii.sanitise(docs, broadcast_terms=most)
     assert out.columns == docs.columns
     text = {r.doc_id: r.text for r in out.collect()}
     assert "<email>" in text[0] and "Zorblatt" not in text[0] and "jo.doe" not in text[0]
