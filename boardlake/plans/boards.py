@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from boardlake.operators import board as bd, dedup as dd, marks as mk, predicates as pr, sinks as sk
+from boardlake.operators.paging import PageIndex
 from boardlake.plans.base import (
     AS_OF, C_SQL, O_SQL, RETURNED_SQL, STATE_SQL, as_of, cat, customer_board, marks_log, orders_board, query, returned_marks, sql_stamp, stamp, table,
 )
+from boardlake.session import scratch_dir
 
 SEARCH = bd.BoardParams(
     query="auto cust", source="automobile", remote="remote", job_type="i", salary_min=20000.0,
@@ -69,6 +71,26 @@ def page_totals(spark, sf):
     return bd.page_totals(bd.board_rows(orders_board(spark, sf), None, PAGE, as_of()), PAGE)
 
 
+@query("board_pages_indexed", f"""
+WITH r AS (SELECT job_id, title, row_number() OVER (ORDER BY salary_max DESC NULLS LAST, job_id) AS rn, count(*) OVER () AS n FROM ({O_SQL})),
+ p AS (SELECT *, (n + 199) // 200 AS pages, (rn - 1) // 200 + 1 AS page FROM r)
+SELECT page, job_id, title, rn AS place FROM p WHERE page IN (1, (pages + 1) // 2, pages)
+""")
+def board_pages_indexed(spark, sf):
+    """First, middle and last page from one index, with each row's place."""
+    keys = bd.sort_keys("salary_max", "desc")
+    rows = orders_board(spark, sf).select("job_id", "title", "salary_max")
+    index = PageIndex.write(rows, keys, f"{scratch_dir(spark, 'page-index')}/index")
+    pages = -(-index.total() // 200)
+    out = None
+    for p in sorted({1, (pages + 1) // 2, pages}):
+        w = Window.orderBy(*keys)  # of one page's rows
+        page = index.page((p - 1) * 200, 200).select(F.lit(p).cast("bigint").alias("page"), "job_id", "title",
+                                                     (F.row_number().over(w) + (p - 1) * 200).cast("bigint").alias("place"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 def _sql_page(name: str, order: str) -> str:
     return f"(SELECT '{name}' AS sort, job_id FROM o ORDER BY {order} LIMIT 50)"
 

@@ -237,3 +237,23 @@ def test_runs_choose_feeds_and_go_on_after_failures(spark, tmp_path):
         fs.run_feeds(spark, "r1", {"Reed": str(tmp_path / "none"), "Jooble": str(tmp_path / "j")}, store)
     got = [(r["source"], r["found"], r["new_rows"], r["rejected"], r["error"] is not None) for r in fs.run_ledger(store).collect()]
     assert got == [("Reed", None, None, None, True), ("Jooble", 2, 2, 0, False)]
+
+
+# ---- page index ------------------------------------------------------------------------
+def test_pages_of_an_index(spark, tmp_path):
+    from boardlake.operators.paging import PageIndex
+
+    rng = random.Random(6)
+    rows = [(rng.choice((None, 1, 2, 3, 3, 3)), f"k{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "v int, job_id string").repartition(5)
+    keys = [F.col("v").desc_nulls_last(), F.col("job_id").asc()]
+    index = PageIndex.write(df, keys, str(tmp_path / "i"))
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    again = PageIndex(spark, str(tmp_path / "i"), keys)
+    assert again.total() == 900
+    for offset, n in ((0, 10), (0, 2000), (440, 30), (895, 50), (900, 5), (5000, 5)):
+        assert [tuple(r) for r in again.page(offset, n).collect()] == want[offset:offset + n]
+    scan = next(x for x in index.page(440, 3)._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "range_id" in scan.split("PartitionFilters")[1].split("]")[0]
+    empty = PageIndex.write(df.limit(0), keys, str(tmp_path / "e"))
+    assert empty.total() == 0 and empty.page(0, 5).collect() == []
