@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boardlake.operators.dedup import latest_by
+from boardlake.operators.store import Commit, Store
 from boardlake.schema import MARK_KINDS
 
 KEY = ["job_id", "kind"]
@@ -39,6 +40,39 @@ def mark_state(log: DataFrame, listings: DataFrame | None = None) -> DataFrame:
     )
 
 
+#: Marks kept in a store: since is NULL where a mark was removed.
+MARK_STORE = "mark_id string, job_id string, kind string, since timestamp_ntz, notes string"
+
+
+def apply_marks(store: Store, entries: DataFrame, name: str = "") -> Commit:
+    """Merges new log entries into the stored marks, reading the buckets of their keys alone; returns the commit.
+
+    Entries come in batches in the order of ``seq``, every batch later than all before it. A batch that has a name is merged once.
+    What a batch means for a mark is one row: whether it was removed, its first add after that, its last note. A
+    mark that is removed stays as a tombstone until buckets are compacted and marks read.
+    """
+    if (before := store.done(name)) is not None:
+        return before
+    gone = entries.groupBy(*KEY).agg(F.max(F.when(F.col("action") == "remove", F.col("seq"))).alias("gone"))
+    is_ = lambda a: (F.col("action") == a) & (F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
+    new = entries.join(gone, KEY).groupBy(*KEY).agg(
+        F.max("gone").alias("gone"), F.min(F.when(is_("add"), F.struct("seq", "ts", "notes"))).alias("a"),
+        F.max(F.when(is_("note"), F.struct("seq", "notes"))).alias("n")).withColumn("mark_id", F.concat_ws("|", "kind", "job_id"))
+    old = store.read(set(store.counted(new))).filter(F.col("since").isNotNull()).select(
+        "mark_id", F.col("since").alias("old_since"), F.col("notes").alias("old_notes"))
+    stays = F.col("gone").isNull() & F.col("old_since").isNotNull()
+    fresh = F.when(F.col("n.seq") > F.col("a.seq"), F.col("n.notes")).otherwise(F.col("a.notes"))
+    rows = new.join(old, "mark_id", "left").select(
+        "mark_id", *KEY, F.when(stays, F.col("old_since")).otherwise(F.col("a.ts")).alias("since"),
+        F.when(stays, F.when(F.col("n").isNotNull(), F.col("n.notes")).otherwise(F.col("old_notes"))).otherwise(fresh).alias("notes"))
+    return store.upsert(rows, ["mark_id"], name)
+
+
+def stored_marks(store: Store) -> DataFrame:
+    """``mark_state`` of all entries merged so far."""
+    return store.read().filter(F.col("since").isNotNull()).select(*KEY, "since", "notes")
+
+
 def flags(state: DataFrame) -> DataFrame:
     """One row per marked job: 0/1 flags and application fields."""
     kind = F.col("kind")

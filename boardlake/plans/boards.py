@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from boardlake.operators import board as bd, dedup as dd, marks as mk, predicates as pr, sinks as sk
 from boardlake.operators.paging import PageIndex
+from boardlake.operators.store import Store
 from boardlake.plans.base import (
     AS_OF, C_SQL, O_SQL, RETURNED_SQL, STATE_SQL, as_of, cat, customer_board, marks_log, orders_board, query, returned_marks, sql_stamp, stamp, table,
 )
@@ -186,6 +187,19 @@ def mark_state(spark, sf):
     return state(spark, sf).select("job_id", "kind", stamp("since").alias("since"), "notes")
 
 
+@query("mark_state_incremental", f"WITH {STATE_SQL} SELECT job_id, kind, {sql_stamp('since')} AS since, notes FROM state")
+def mark_state_incremental(spark, sf):
+    """The same from four batches of the log merged one after another, one of them twice, with a compaction between."""
+    log = marks_log(spark, sf).join(customer_board(spark, sf).select("job_id"), "job_id", "left_semi")
+    bound = (log.agg(F.max("seq")).first()[0] or 0) // 4 + 1
+    store = Store(spark, f"{scratch_dir(spark, 'marks')}/store", mk.MARK_STORE, "mark_id", 32)
+    for k in (0, 1, 2, 2, 3):
+        mk.apply_marks(store, log.where(F.floor(F.col("seq") / bound) == k), f"batch {k}")
+        if k == 1:
+            store.compact()
+    return mk.stored_marks(store).select("job_id", "kind", stamp("since").alias("since"), "notes")
+
+
 FLAGS_SQL = """
 f AS (SELECT job_id, max(CAST(kind = 'favourite' AS BIGINT)) AS is_favourite, max(CAST(kind = 'applied' AS BIGINT)) AS is_applied,
   max(CAST(kind = 'not_interested' AS BIGINT)) AS is_not_interested, max(CASE WHEN kind = 'applied' THEN since END) AS applied_at,

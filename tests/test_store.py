@@ -257,3 +257,20 @@ def test_pages_of_an_index(spark, tmp_path):
     assert "range_id" in scan.split("PartitionFilters")[1].split("]")[0]
     empty = PageIndex.write(df.limit(0), keys, str(tmp_path / "e"))
     assert empty.total() == 0 and empty.page(0, 5).collect() == []
+
+
+# ---- marks -----------------------------------------------------------------------------
+def test_marks_merged_in_batches_equal_the_whole_log(spark, tmp_path):
+    from boardlake.operators import marks as mk
+
+    rng = random.Random(12)
+    log = [(f"j{rng.randrange(6)}", rng.choice(("applied", "favourite")), rng.choice(("add", "add", "note", "remove")), f"2024-01-01 00:{i:02d}:00", rng.choice((None, f"n{i}")), i)
+           for i in range(58)]
+    df = spark.createDataFrame(log, "job_id string, kind string, action string, at string, notes string, seq long").withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at")
+    store = Store(spark, str(tmp_path / "m"), mk.MARK_STORE, "mark_id", 4)
+    for k, (lo, hi) in enumerate(((0, 9), (9, 25), (25, 58))):
+        for _ in range(2):
+            mk.apply_marks(store, df.where((F.col("seq") >= lo) & (F.col("seq") < hi)), f"b{k}")
+        want = {tuple(r) for r in mk.mark_state(df.where(F.col("seq") < hi)).collect()}
+        assert {tuple(r) for r in mk.stored_marks(store).collect()} == want
+    assert store.ledger().count() == 3
