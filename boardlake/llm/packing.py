@@ -67,9 +67,10 @@ def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for batch in batches:
             doc, piece, start, crc, length = [], [], [], [], []
-            for i, ids in enumerate(encoder(path).encode(batch.column(1))):
+            for i, ids in enumerate(e.encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 at = [0, *range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)]
                 for k in range(len(at) - 1):
@@ -82,6 +83,7 @@ def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[id_col, "piece", "start", "length", "ids_crc32"])
+        e.forget()
 
     return docs.select(id_col, text_col).mapInArrow(cut_up, schema)
 

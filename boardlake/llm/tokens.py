@@ -79,6 +79,11 @@ class TextEncoder:
         self.word = self.lib.model.tokenize if whole_words else None
         self._clear()
 
+    def forget(self) -> None:
+        """Lets go of all pieces: a worker that goes on with other work should not hold them."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _clear(self) -> None:
         self.slots, self.flat = _Slots(), _Growing(np.uint32)
         self.start, self.size = _Growing(np.int64), _Growing(np.int64)
