@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from boardlake.functions.analysis_json import params_or_empty
 from boardlake.functions.regions import REGIONS, region_labels
 from boardlake.functions.text import let
 from boardlake.operators.predicates import effective_date
@@ -39,6 +40,19 @@ def _salted(searches: DataFrame) -> DataFrame:
     return searches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def stored_searches(stored: DataFrame, params: str = "params") -> DataFrame:
+    """Searches as ``match_saved`` takes them from their stored JSON: all values may be texts, '' fills in nothing.
+
+    Unreadable parameters are no filters at all, as is a number that isn't one; keys that are no filter of a listing are passed over.
+    """
+    v = params_or_empty(F.col(params))
+    text = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))
+    return stored.select(
+        "search_id", *[F.trim(text(n)).alias(n) for n in ("query", "source", "remote", "job_type", "region")],
+        F.trim(text("salary_min")).try_cast("double").alias("salary_min"),
+        F.trim(text("posted_in_last_days")).try_cast("int").alias("posted_in_last_days"))
+
+
 def match_saved(listings: DataFrame, saved: DataFrame, as_of: Column,
                 text_cols: list[str] | None = None) -> DataFrame:
     """(search_id, job_id) pairs that satisfy every filled-in filter of the search. As on the

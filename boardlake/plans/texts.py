@@ -87,7 +87,7 @@ def saved_rules(spark, sf) -> DataFrame:
         F.when(i % 5 == 2, "Europe").otherwise("").alias("region"))
 
 
-@query("saved_search_match", f"""
+MATCH_SQL = f"""
 WITH o AS (SELECT *, ' ' || regexp_replace(lower(concat_ws(' ', title, company, description, tags, location)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS t,
     CASE WHEN date_posted = 'recently' THEN CAST(date_scraped AS DATE) ELSE CAST(date_posted AS DATE) END AS d FROM ({O_SQL})),
 s AS ({SAVED_SQL})
@@ -96,11 +96,25 @@ SELECT search_id, job_id FROM o JOIN s ON (s.source = '' OR lower(s.source) = lo
   AND (s.salary_min IS NULL OR o.salary_min >= s.salary_min) AND (s.posted_in_last_days IS NULL OR o.d >= DATE '{AS_OF}' - CAST(s.posted_in_last_days AS INT))
   AND (s.region = '' OR lower(o.location) LIKE '%europe%')
   AND CASE query WHEN 'auto lo' THEN contains(t, ' auto') AND contains(t, ' lo') WHEN 'customer urgent' THEN contains(t, ' customer') AND contains(t, ' urgent') ELSE true END
-""")
+"""
+
+
+@query("saved_search_match", MATCH_SQL)
 def saved_search_match(spark, sf):
     return sv.match_saved(orders_board(spark, sf), saved_rules(spark, sf), as_of())
 
 
+@query("saved_search_stored", MATCH_SQL)
+def saved_search_stored(spark, sf):
+    """The same from searches as they are stored: JSON whose values are texts, with keys that are no filters."""
+    params = F.to_json(F.struct(
+        F.concat(F.lit(" "), "query").alias("query"), "source", "remote", "job_type", "region", F.coalesce(F.col("salary_min").cast("string"), F.lit("")).alias("salary_min"),
+        F.coalesce(F.col("posted_in_last_days").cast("string"), F.lit("")).alias("posted_in_last_days"), F.lit("desc").alias("order"),
+        F.lit(False).alias("include_not_interested")))
+    stored = saved_rules(spark, sf).select("search_id", params.alias("params"))
+    return sv.match_saved(orders_board(spark, sf), sv.stored_searches(stored), as_of())
+
+
 @query("saved_search_match_text", """
 WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text || ' ' || source), '[^\\p{L}\\p{N}]+', ' ', 'g') AS t FROM documents),
 k AS (SELECT item_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM benchmark),
