@@ -197,6 +197,38 @@ def test_bands_reject_strange_text(spark):
     assert not got[200].kept and not got[201].kept
 
 
+def test_scripts_are_not_folded(spark):
+    """Characters outside Latin keep their own symbols: a text of strange ones is told from its neighbours."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("абвгдежзик", k=rng.randint(3, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(150)]
+    fold = quality._FOLD
+    other = {c: [x for x in map(chr, range(0x4E00, 0x9000)) if fold[ord(x)] == fold[ord(c)]] for c in "абвгдежзик"}
+    odd = "".join(rng.choice(other[c]) if k % 4 == 0 and c in other else c for k, c in enumerate(" ".join(rng.choices(words, k=80))))
+    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, [*texts, odd], ("ru",))).collect()}
+    assert sum(got[k].kept for k in range(150)) >= 145
+    assert not got[150].base_failed and not got[150].kept
+
+
+def test_utf16_grams(spark):
+    texts = [t or "" for t in TEXTS] + ["a\0b", "😀"]
+    want = collections.Counter()
+    for t in texts:
+        u = np.frombuffer(t.replace("\0", "\uffff").encode("utf-16-le"), np.uint16).tolist()
+        s = [0, 0, 0, *u, 0]
+        for k in range(3, len(s)):
+            want[s[k - 3] << 48 | s[k - 2] << 32 | s[k - 1] << 16 | s[k]] += 1
+    assert {r.gram % 2**64: r.n for r in quality.count_grams(documents(spark, texts), alphabet=quality.UTF16).collect()} == want
+
+
+def test_model_as_table_equals_broadcast_model(spark, monkeypatch):
+    docs = documents(spark)
+    seen = lambda: sorted((str(r.doc_id), r.n_words, r.kept, round(r.perplexity, 3)) for r in quality.quality_rules(docs).collect())
+    want = seen()
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    assert seen() == want and len(want) == len(ROWS)
+
+
 def test_op1_whole_table(spark):
     got = {r.doc_id: r for r in QUERIES["op1_quality_perplexity"](spark, SF).collect()}
     for d, t in whole(spark):
