@@ -1,7 +1,9 @@
 """Worked examples of the column functions."""
 
 import datetime as dt
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from boardlake.functions import analysis_json as aj, classify as cl, dates, html
 from boardlake.operators import board as bd, predicates as pr
 
 
-
 @pytest.mark.parametrize("text,low,high", [
     ("$60,000 - $90,000", 60000, 90000), ("60k-90k", 60000, 90000), ("75", 75000, 75000), ("", None, None),
     ("negotiable", None, None), ("90,000 to 60,000", 60000, 90000),
@@ -162,3 +163,25 @@ def test_board_params_from_request():
     p = bd.BoardParams.from_request({"posted_in_last_days": "7", "salary_min": "5e4", "include_not_interested": "1"})
     assert (p.posted_in_last_days, p.salary_min, p.include_marked) == (7, 50000.0, True)
     assert [bd.clamp_page(95, x, 25) for x in (-1, 1, 4, 9)] == [1, 1, 4, 4] and bd.clamp_page(0, 3, 25) == 1
+
+
+def test_sanitize_holds_no_tree_of_a_page():
+    page = "<p class='a'>x</p>" * 50_000
+    tracemalloc.start()
+    safe = html.sanitize(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert safe == "<p>x</p>" * 50_000 and peak < 30e6
+
+
+def test_sanitize_closes_and_drops_like_a_tree():
+    assert html.sanitize("<div><p>a<script><b>x</b></script>b</div>c</p><form><i>d<input></form>e") == "<div><p>ab</p></div>ce"
+    assert html.sanitize("<b><i>a</b>c</i><br/><img src=x alt='\"'><u/>") == "<b><i>a</i></b>c<br/><img src=\"x\" alt='\"'/><u></u>"
+
+
+def test_batches_are_sanitized_in_runs(spark, monkeypatch):
+    assert [len(r) for r in html._runs(pa.array(["a" * html.RUN_BYTES, None, "b", "c" * html.RUN_BYTES, ""]))] == [3, 2]
+    pages = [None, "<b>1", "x", "<p onclick='y'>" + "é" * 700_000] * 3
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, page string").repartition(1).select("k", html.clean_html(F.col("page")).alias("s"))
+    want = ["", "<b>1</b>", "x", "<p>" + "é" * 700_000 + "</p>"] * 3
+    assert [r.s for r in rows.sort("k").collect()] == want
