@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from boardlake.plans.base import cat, pick, query, table
 from boardlake.sources import feeds  # noqa: F401  (registers feeds)
-from boardlake.sources.spec import FEEDS, SearchParams, ingest, map_feed
+from boardlake.sources.spec import FEEDS, SearchParams, ingest, map_feed, parsed
 
 SHOWN = ["job_id", "title", "company", "location", "description", "url", "source", "remote", "salary_min",
          "salary_max", "salary_currency", "job_type", "experience_level", "date_posted", "tags", "company_logo"]
@@ -17,11 +17,15 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def json_items(df: DataFrame, item: dict[str, Column], seq: str, board: Column = F, keyword: Column = F) -> DataFrame:
-    """Rows as ``read_items`` gives them, the item going through JSON text like a landed one."""
-    return df.select(
-        F.parse_json(F.to_json(F.struct(*[c.alias(n) for n, c in item.items()]))).alias("item"),
+    """Rows as ``read_items`` gives them, the item going through JSON text like a landed one. A small file can hold rows
+    that take long to parse, so they are dealt out first."""
+    session = df.sparkSession
+    df = df.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    rows = df.select(
+        F.to_json(F.struct(*[c.alias(n) for n, c in item.items()])).alias("text"),
         (F.lit("") if board is F else board).alias("board"), (F.lit("") if keyword is F else keyword).alias("keyword"),
         F.lit("2002-01-01").cast("timestamp").alias("landed_at"), F.col(seq).alias("seq"))
+    return rows.select(parsed(F.parse_json("text")), "board", "keyword", "landed_at", "seq")
 
 
 def sql_id(source: str, url: str = "url") -> str:

@@ -155,12 +155,18 @@ def landed_rows(reader, spec: FeedSpec, path: str, schema: str = "") -> DataFram
     return _landed(reader.option("rowTag", "item").schema(RSS_ITEM).format("xml").load(path), F.col("_metadata.file_block_start").alias("pos"))
 
 
+def parsed(item: Column) -> Column:
+    """item, parsed once per row. Filters are not pushed below an explode; below a plain projection, Catalyst would put the
+    parsing of the text into every place of a filter that reads a field."""
+    return F.explode(F.array(item)).alias("item")
+
+
 def items_of(rows: DataFrame, spec: FeedSpec, long_files: bool) -> DataFrame:
     """Items of ``landed_rows``; long_files: JSON payloads may be longer than a split."""
     facts = ["landed_at", "landed_file", "board", "keyword", "pos"]
     if spec.layout == "json":
         rows = pl.item_texts(rows, spec.items, long_files).filter("kind = 'item'")
-        rows = rows.select("landed_at", F.col("file").alias("landed_file"), "pos", *_named(F.col("file")), F.try_parse_json("text").alias("item"))
+        rows = rows.select("landed_at", F.col("file").alias("landed_file"), "pos", *_named(F.col("file")), parsed(F.try_parse_json("text")))
         rows = rows.filter(F.col("item").isNotNull())
     else:
         rows = rows.select(*facts, F.struct(*[c for c in rows.columns if c not in facts]).alias("item"))

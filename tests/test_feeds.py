@@ -233,3 +233,20 @@ def test_source_dimension(spark):
     assert dims.source_dim(spark).filter("requires_api_key").count() == 7
     assert dims.superseded_rules(spark).collect()[0].asDict() == {"feed": "LinkedIn", "superseded_by": "JobSpy"}
     assert dims.source_dim(spark).filter(F.col("name").isin(dims.KEY_SOURCES)).count() == 8
+
+
+def test_items_are_parsed_once_per_row(spark):
+    """A filter on fields of an item does not bring the parsing of its text into every place that names the item."""
+    from boardlake.plans.base import QUERIES
+    import boardlake.plans.feeds  # noqa: F401
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    text = plan(QUERIES["feed_flat_json"](spark, "/root/testdata/sf0.001"))
+    assert text.lower().count("parsejson(") == 1 and "Repartition " in text
+
+
+def test_landed_items_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"legal": "n"}, {"position": "R dev", "salary_max": 30000}, {"position": "B", "salary_max": 1}]))
+    got = ingest(read_items(spark, FEEDS["RemoteOK"], str(tmp_path)), FEEDS["RemoteOK"], SearchParams(keywords=("r",), salary_min=20000))
+    assert [r.title for r in got.collect()] == ["R dev"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
