@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {}
 
 #: Largest Bloom filter: 2^27 bits are 16 MB.
 BLOOM_BITS = 27
+#: Batches of whole texts, unless the session says otherwise: by bytes between executors and Python workers, by rows in Parquet readers.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 #: Characters of text that a Python worker turns into arrays at a time.
 BATCH_CHARS = 1_000_000
 
@@ -34,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets TEXT_BATCHES: by default 10,000 texts of any length are a batch, held by the executor and its Python worker at once."""
+    for k, v in TEXT_BATCHES.items():
+        if k not in spark.conf.getAll:
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, purpose: str) -> DataFrame:
     """df as a table in the shared folder, read again: no later step depends on what executors hold."""
     path = f"{scratch_dir(df.sparkSession, purpose)}/rows"

@@ -31,6 +31,8 @@ from boardlake.llm.words import Words, per_text, split_words
 ORDER, SYMBOLS, BITS = 4, 64, 6
 #: N-grams of a model that the driver makes and that is broadcast: 200 MB at most.
 BROADCAST = 1 << 24
+#: Counted n-grams that a task holds at most before it merges them: 16 bytes each, about six times that while it merges.
+HELD = 1_500_000
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 STEPS, WIDE, MIN_RANGE, FEW = 1000, 2.5, 0.01, 2.0
 MARKS = ".,;:!?'\"-()|#$%&*<>/@=+_"
@@ -215,10 +217,10 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER, alp
                 w = split_words(texts[lo:hi])
                 held.append(np.unique(coded(w.codes, w.text_start, alphabet, order)[0], return_counts=True))
                 rows += len(held[-1][0])
-                if rows > 4_000_000:
+                if rows > HELD:
                     held = [merged()]
                     rows = len(held[0][0])
-                    if rows > 2_000_000:  # too many different ones to hold: the shuffle sums them
+                    if rows > HELD // 2:  # too many different ones to hold: the shuffle sums them
                         yield batch_of(*held[0])
                         held, rows = [], 0
         if held:

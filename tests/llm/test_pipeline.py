@@ -1,12 +1,14 @@
 """The stages of the corpus pipeline one by one, with clashing columns, and the whole on a small table."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import BASE, changed, documents, empty, prose
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from boardlake.llm.base import TEXT_BATCHES, small_batches
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ("score", "size", "n_words", "low", "high", "predicted", "held_out", "_id", "component_id", "lambda", "step")
@@ -30,6 +32,33 @@ def test_stages_keep_columns_and_take_odd_tables(spark, name):
         assert out.count() <= docs.count()
 
 
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_bound_the_bytes_of_batches(spark, name):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    try:
+        stage(name)(spark, documents(spark), SF)
+        texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+        got = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < 6_000_000
+    finally:
+        for k in TEXT_BATCHES:
+            spark.conf.unset(k)
+
+
+def test_batches_that_the_session_sets_stay(spark):
+    k = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(k, "9m")
+    try:
+        small_batches(spark)
+        assert spark.conf.get(k) == "9m"
+    finally:
+        for k in TEXT_BATCHES:
+            spark.conf.unset(k)
+
+
 def test_near_duplicates_leave_one_of_each_group(spark):
     texts = [BASE, changed(BASE, 2), BASE.upper(), prose(200, 77), None, "", BASE + " tail"]
     out = stage("n-gram Jaccard join")(spark, documents(spark, texts), SF)
