@@ -36,9 +36,18 @@ MAGIC, VERSION = b"BLTF", 1
 #: Ids in a file, about.
 FILE_IDS = 8_000_000
 _BLOCK_IDS = 500_000
-_SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
-_TOTAL = _SIZES.sum(axis=1)
-_PLACES = np.cumsum(_SIZES, axis=1) - _SIZES
+#: The four byte counts that a control byte holds, as the bytes of one number.
+_SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8).view("<u4").ravel()
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Of four places for each control byte: does it hold a rank? The last ones of a document may not."""
+    used = (counts + 3) // 4
+    out = np.ones(4 * int(used.sum()), bool)
+    spare, ends = 4 * used - counts, 4 * np.cumsum(used)
+    for k in (1, 2, 3):
+        out[ends[spare >= k] - k] = False
+    return out
 
 
 def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,14 +55,25 @@ def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
     counts: of ranks in each document. The places have one entry more, for the end.
     """
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    more = (ranks > 0xFF).astype(np.uint8)
+    kind = "<u2"
+    if ranks.max(initial=0) > 0xFFFF:
+        kind = "<u4"
+        more += ranks > 0xFFFF
+        more += ranks > 0xFFFFFF
     first = np.concatenate([[0], np.cumsum(counts)])
     controls = np.concatenate([[0], np.cumsum((counts + 3) // 4)])
     quads = np.zeros(4 * controls[-1], np.uint8)
-    quads[np.arange(len(ranks)) + np.repeat(4 * controls[:-1] - first[:-1], counts)] = more
-    ends = np.concatenate([[0], np.cumsum(more + 1, dtype=np.int64)])
-    return quads.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8), controls, ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]], ends[first]
+    quads[_places(counts)] = more
+    four = quads.view("<u4")
+    control = (four | four >> np.uint32(6) | four >> np.uint32(12) | four >> np.uint32(18)).astype(np.uint8)
+    data = np.ascontiguousarray(ranks, kind).view(np.uint8)
+    width = np.dtype(kind).itemsize
+    used = np.ones(len(data), bool)
+    for k in range(1, width):
+        used[k::width] = more >= k
+    ends = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])
+    return control, controls, data[used], ends[first] + first
 
 
 def _binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -64,26 +84,14 @@ def _binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Ranks of documents one after another; counts: of ranks in each. Control bytes tell places by table look-up."""
-    used = (counts + 3) // 4
-    spare = used * 4 - counts  # unused places at the end of a document's last control byte take no data
-    taken = _TOTAL[control] - 0
-    last = np.cumsum(used) - 1
-    np.subtract.at(taken, last[counts > 0], spare[counts > 0])
-    begin = np.cumsum(taken) - taken
-    at = begin[:, None] + _PLACES[control]
-    size = _SIZES[control]
-    real = np.ones(len(control) * 4, bool)
-    tail = np.repeat((last * 4 + 4)[counts > 0], spare[counts > 0]) - 1
-    if len(tail):
-        s = spare[counts > 0]
-        real[tail - (np.arange(len(tail)) - np.repeat(np.cumsum(s) - s, s))] = False
-    at, size = at.ravel()[real], size.ravel()[real]
-    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
-    out = padded[at]
+    size = _SIZES[control].view(np.uint8)[_places(counts)]
+    ends = np.cumsum(size, dtype=np.int64)
+    at = ends - size
+    out = data[at].astype(np.uint32)
     for k in (1, 2, 3):
-        more = size > k
-        if more.any():
-            out[more] |= padded[at[more] + k] << np.uint32(8 * k)
+        more = np.flatnonzero(size > k)
+        if len(more):
+            out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -132,11 +140,17 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         kind = "<u2" if len(e.bytes_of) <= 1 << 16 else "<u4"
         for batch in batches:
             times = np.zeros(len(e.bytes_of), np.int64)
-            ids, n = [], []
+            ids, n, held, size = [], [], [], 0
             for x in e.encode(batch.column(1)):
                 ids.append(np.append(x, END_ID).astype(kind).tobytes())
                 n.append(len(x) + 1)
-                np.add.at(times, x, 1)
+                held.append(x)
+                size += len(x)
+                if size >= _BLOCK_IDS:
+                    times += np.bincount(np.concatenate(held), minlength=len(times))
+                    held, size = [], 0
+            if held:
+                times += np.bincount(np.concatenate(held), minlength=len(times))
             times[END_ID] += len(ids)
             at = np.flatnonzero(times)
             counted = [list(zip(at.tolist(), times[at].tolist(), strict=True)), *[None] * (len(ids) - 1)] if ids else []

@@ -26,6 +26,7 @@ _MARKS = ".,;:!?"
 _JOIN = 200
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"
+_LINE_END = "\u010a"
 
 
 class _Growing:
@@ -75,8 +76,10 @@ class TextEncoder:
         for i, added in self.lib.get_added_tokens_decoder().items():
             size[i] = len(added.content.encode())
         self.bytes_of, self.marks, self.keep = size, {m: i for m in _MARKS if (i := vocab.get(m)) is not None}, keep
-        whole_words = self.lib.normalizer is None and isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel)
+        split = self.lib.pre_tokenizer
+        whole_words = self.lib.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel)
         self.word = self.lib.model.tokenize if whole_words else None
+        self.line_end = [t.id for t in self.word(_LINE_END)] if whole_words and split.use_regex and not split.add_prefix_space else None
         self._clear()
 
     def forget(self) -> None:
@@ -97,6 +100,21 @@ class TextEncoder:
         self.size.now[at] = sizes
         self.flat.extend(ids)
 
+    def _line(self, key: str) -> list[int] | None:
+        """Ids of a word and a mark, a line end, and a word with or without a mark; None for other pieces."""
+        left, _, right = key.partition("\n")
+        ends, last = self.marks.get(left[-1:]), self.marks.get(right[-1:])
+        word, after = left[:-1], right if last is None else right[:-1]
+        if ends is None or not (_is_word(word) and _is_word(after)):
+            return None
+        out = [t.id for t in self.word(_SPACE + _letters(word))]
+        out.append(ends)
+        out += self.line_end
+        out += [t.id for t in self.word(_letters(after))]
+        if last is not None:
+            out.append(last)
+        return out
+
     def _learn(self) -> None:
         """Ids of the pending pieces. A piece stands for itself after a space; one that starts with a space begins a text."""
         slots, marks, base = self.slots, self.marks, self.start.n
@@ -107,15 +125,19 @@ class TextEncoder:
             if key[:1] == " ":
                 heads.append(key[1:])
                 heads_at.append(i)
-            elif mark is not None and (word := key[:-1]).isalpha() and (key.isascii() or max(key) < "\u2000"):
+            elif mark is not None and _is_word(word := key[:-1]):
                 words.append(slots[word])
                 ends.append(mark)
                 tails_at.append(i)
-            elif self.word is not None and key.isascii() and key.isalpha():  # one token run: no need to split it
-                found = self.word(_SPACE + key)
+            elif self.word is not None and _is_word(key):  # one token run: no need to split it
+                found = self.word(_SPACE + _letters(key))
                 ids.extend([t.id for t in found])
                 sizes.append(len(found))
                 words_at.append(i)
+            elif self.line_end is not None and "\n" in key and (line := self._line(key)):
+                ids.extend(line)
+                sizes.append(len(line))
+                words_at.append(i)
             elif key and not key[0].isspace():
                 plain.append(key)
                 plain_at.append(i)
@@ -186,6 +208,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_LETTERS = _byte_letters()
+
+
+def _is_word(key: str) -> bool:
+    """Letters alone, of scripts whose letters the library's pattern knows too."""
+    return key.isalpha() and (key.isascii() or max(key) < "\u2000")
+
+
+def _letters(word: str) -> str:
+    """A word as byte-level vocabularies write it."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
 _MADE: dict[str, TextEncoder] = {}
 
 

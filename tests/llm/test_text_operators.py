@@ -50,6 +50,17 @@ def test_cached_encoder_equals_the_library():
         assert got == want
 
 
+def test_words_of_other_scripts_and_line_ends_need_no_splitting(monkeypatch):
+    letters = [c for c in map(chr, range(0x2000)) if c.isalpha()]
+    texts = [f"x {w}" for c in letters for w in (c, f"a{c}b.", f"b{c}.\n{c}a", f"b.\n{c},")]
+    want = [x.ids for x in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    e = tokens.TextEncoder(BPE)
+    split, whole = [], e._whole
+    monkeypatch.setattr(e, "_whole", lambda x: split.extend(x) or whole(x))
+    assert [x.tolist() for x in e.encode(texts)] == want
+    assert sum(map(len, split)) < 100
+
+
 # ---- op5 -----------------------------------------------------------------------------
 def test_variable_length_coding_round_trip():
     rng = np.random.default_rng(1)
@@ -62,6 +73,15 @@ def test_variable_length_coding_round_trip():
     assert len(token_files.encode_ranks(np.array([255, 256, 65535, 65536, 1 << 24]), np.array([5]))[2]) == 1 + 2 + 2 + 3 + 4
 
 
+def test_variable_length_coding_of_each_width():
+    for most in (1, 1 << 8, 1 << 16, 1 << 24, 1 << 32):
+        ranks = np.array([0, most - 1, most // 2, 0, 7 % most], np.uint32)
+        for counts in ([5], [0, 2, 0, 3, 0], [1] * 5, [4, 1]):
+            control, _, data, _ = token_files.encode_ranks(ranks, np.array(counts))
+            assert (token_files.decode_ranks(control, data, np.array(counts)) == ranks).all()
+            assert len(data) == sum(max(1, (int(r).bit_length() + 7) // 8) for r in ranks)
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 2000)
     folder = scratch_dir(spark, "files")
