@@ -1,9 +1,10 @@
 """Subword encoding and decoding with a SentencePiece vocabulary: shared-prefix Viterbi.
 
 A text is marked as the library does (a leading mark, blanks as marks) and falls into marked words, as no piece goes on with
-a mark after another character. The distinct words of a batch, sorted, are the paths of a trie in depth-first order: from
-one word to the next the walk goes back to the common prefix and keeps its forward scores, then goes on along the rest. At a node
-an automaton of all pieces names the pieces that end there, so a node costs one step and as many sums as such pieces.
+a mark after another character. The distinct new words of a batch, sorted, are the paths of a trie. It is walked from the root
+on, all nodes of a depth at once as arrays: a prefix that words share is one node and has one forward state. An automaton of all
+pieces names the pieces that end at a node, so a node costs one step and as many sums as such pieces. A word of LONG characters
+or more is walked alone.
 
 The vocabulary is one of merges: the library joins the two neighbours whose piece ranks first until none are left. Its result is
 the one path along which no two neighbouring pieces would have been cut otherwise: joining their characters alone by rank gives
@@ -38,7 +39,11 @@ MARK = "▁"
 #: Characters of words that a worker remembers, links of the automaton that it adds, pairs of pieces whose agreement it remembers.
 KEPT_CHARS, LEARNT, PAIRS = 5_000_000, 200_000, 400_000
 #: Characters of texts that are encoded at a time.
-_RUN = 500_000
+_RUN = 2_000_000
+#: Numbers a pair of a piece or character and a piece: above any code point.
+_WIDE = 1 << 22
+#: Longer words are walked one by one; so many others are walked at once.
+LONG, _WALK = 48, 50_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -81,6 +86,46 @@ class Automaton:
         return to
 
 
+class Remembered:
+    """Numbers by key (from 0 on), for arrays of keys at once: open addressing in two arrays, at most half full."""
+
+    def __init__(self, room: int):
+        self.room, self.bits = room, (2 * room).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.rows = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for those that are not there."""
+        at, out = self._place(keys), np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
+        while len(left):
+            met = self.keys[at]
+            hit = met == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (met >= 0)
+            left, at = left[on], at[on] + 1 & len(self.keys) - 1
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not there; all are forgotten when more than room would be there."""
+        if self.rows + len(keys) > self.room:
+            self.clear()
+            keys, values = keys[:self.room], values[:self.room]
+        self.rows += len(keys)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], at[~mine] + 1 & len(self.keys) - 1
+
+
 class Merges:
     """How pieces come about: rank (lower first) of each piece's text, and the pieces along both edges of each."""
 
@@ -88,7 +133,6 @@ class Merges:
         self.rank = rank
         self.left: dict[str, list[str]] = {}
         self.right: dict[str, list[str]] = {}
-        self.agreed: dict[tuple[str, str], bool] = {}
 
     def parts(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """(pieces that text is joined to, the last two joined)."""
@@ -111,15 +155,7 @@ class Merges:
 
     def agree(self, a: str, b: str) -> bool:
         """Would a followed by b be joined to just these two? True unless a join across comes before what ends either edge."""
-        key = a, b
-        if (out := self.agreed.get(key)) is None:
-            if len(self.agreed) >= PAIRS:
-                self.agreed.clear()
-            out = self.agreed[key] = self._agree(self.edge(a, 1), self.edge(b, 0))
-        return out
-
-    def _agree(self, left: list[str], right: list[str]) -> bool:
-        rank = self.rank.get
+        left, right, rank = self.edge(a, 1), self.edge(b, 0), self.rank.get
         i = j = 0
         while True:
             next_left = rank(left[i + 1]) if i + 1 < len(left) else np.inf
@@ -147,11 +183,15 @@ class PieceTable:
         self.unknown = sp.unk_id()
         self.silent = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i)}
         self.plain = [i for i in range(size) if not (i in self.silent or i in self.byte_of or sp.is_unused(i))]
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode("utf-8") for i, t in enumerate(self.texts)]
+        self.written = np.array([i not in self.silent for i in range(size)] + [False, False])  # none for ids past the end, and -1
         self.rank = {self.texts[i]: -sp.get_score(i) for i in self.plain}
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined to characters, marks as blanks, the leading mark dropped; control and unknown ids skipped."""
-        out, held = [], bytearray()
+        if len(ids) and self.written[np.clip(ids, -1, len(self.texts))].all():
+            return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+        out, held = [], bytearray()  # a silent id ends a run of bytes
         for i in ids.tolist():
             if (b := self.byte_of.get(i)) is not None:
                 held.append(b)
@@ -173,74 +213,174 @@ class PieceEncoder(PieceTable):
         self.automaton = Automaton([(self.texts[i], i) for i in self.plain if len(self.merges.parts(self.texts[i])[0]) == 1])
         self.split = not any(re.search(f"[^{MARK}]{MARK}", self.texts[i]) for i in self.plain)
         self.known: dict[str, int] = {}
+        self.agreed, self.pairs = Remembered(PAIRS), {}
+        self._arrays()
         self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
         self.flat, self.start, self.size, self.chars = array("i"), array("q"), array("q"), 0
 
-    def _spelled(self, ch: str) -> list[int]:
-        return [self.bytes[b] for b in ch.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-
-    def viterbi(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of each of the words, which are sorted: a depth-first walk of their trie."""
-        links, learn, ends, agree, texts = self.automaton.next, self.automaton.learn, self.automaton.ends, self.merges.agree, self.texts
-        last, state = [""], [0]  # along the path from the root: text of the last piece, state of the automaton
-        ids, sizes = array("i", [-1]), array("i", [0])
-        before = ""
-        for word in words:
-            k, n = 0, min(len(before), len(word))
-            while k < n and before[k] == word[k]:
+    def _arrays(self) -> None:
+        """The automaton for many words at once: links by state and character, fail links, pieces that end at each state."""
+        a = self.automaton
+        chars = sorted({ch for links in a.next for ch in links})
+        self.char = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.char[[ord(ch) for ch in chars]] = np.arange(1, len(chars) + 1)
+        self.links = Remembered(len(a.next))
+        rows = [(state * _WIDE + int(self.char[ord(ch)]), to) for state, links in enumerate(a.next) for ch, to in links.items()]
+        self.links.put(*np.array(rows, np.int64).reshape(-1, 2).T)
+        self.fail = np.array(a.fail, np.int64)
+        self.n_ends = np.array([len(x) for x in a.ends], np.int64)
+        self.first_end = np.cumsum(self.n_ends) - self.n_ends
+        self.end_size, self.end_id = np.array([x for ends in a.ends for x in ends], np.int64).reshape(-1, 2).T
+
+    def _step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Automaton.step of many states."""
+        state, left = state.copy(), np.arange(len(state))
+        while len(left):
+            to = self.links.get(state[left] * _WIDE + char[left])
+            done = (to >= 0) | (state[left] == 0)
+            state[left] = np.where(done, np.maximum(to, 0), self.fail[state[left]])
+            left = left[~done]
+        return state
+
+    def _text(self, i: int) -> str:
+        return self.texts[i] if i < len(self.texts) else chr(i - len(self.texts))
+
+    def _agree(self, front: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Merges.agree of pieces or characters and pieces, remembered."""
+        keys = front.astype(np.int64) * _WIDE + piece
+        out = self.agreed.get(keys)
+        if len(new := np.flatnonzero(out < 0)):
+            fresh, where = np.unique(keys[new], return_inverse=True)
+            found = np.array([self.merges.agree(self._text(k // _WIDE), self.texts[k % _WIDE]) for k in fresh.tolist()], np.int32)
+            self.agreed.put(fresh, found)
+            out[new] = found[where]
+        return out > 0
+
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word's ids) of words, which are sorted: a walk of their trie, all nodes of a depth at once.
+
+        Nodes of a depth are the words that don't share so long a prefix with the word before; the others take over its node.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        depth = int(size.max(initial=0))
+        codes = np.array(words, f"U{max(depth, 1)}").view(np.uint32).reshape(len(words), -1)
+        same = np.logical_and.accumulate(codes[1:] == codes[:-1], axis=1).sum(axis=1)
+        shared = np.minimum(np.append(0, same), np.minimum(size, np.append(0, size[:-1])))
+        # by depth and word: last piece (len(texts) + code point: a character without one) and its length
+        last, length = np.zeros((depth + 1, len(words)), np.int32), np.zeros((depth + 1, len(words)), np.int16)
+        state = np.zeros(len(words), np.int64)
+        for d in range(1, depth + 1):
+            on = size >= d
+            own = on & (shared < d)
+            at = np.flatnonzero(own)
+            code = codes[at, d - 1]
+            here = self._step(state[at], self.char[code])
+            i, n = (len(self.texts) + code).astype(np.int32), np.ones(len(at), np.int16)
+            left, k = np.flatnonzero(self.n_ends[here] > 0), 0
+            while len(left):  # the longest ending piece first
+                end = self.first_end[here[left]] + k
+                piece, span = self.end_id[end], self.end_size[end]
+                fits = span == d
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self._agree(last[d - span[inner], at[left[inner]]], piece[inner])
+                i[left[fits]], n[left[fits]] = piece[fits], span[fits]
                 k += 1
-            del last[k + 1:], state[k + 1:], ids[k + 1:], sizes[k + 1:]
-            here = state[k]
-            for at in range(k, len(word)):
-                ch = word[at]
-                to = links[here].get(ch)
-                here = learn(here, ch) if to is None else to
-                length, i, piece = 1, -1, ch
-                for length, i in ends[here]:
-                    piece = texts[i]
-                    front = last[at + 1 - length]
-                    if not front or agree(front, piece):
-                        break
-                else:  # no piece for the character
-                    length, i, piece = 1, -1, ch
-                last.append(piece)
-                state.append(here)
-                ids.append(i)
-                sizes.append(length)
-            out: list[int] = []
-            at = len(word)
-            while at:
-                out += reversed(self._spelled(word[at - 1])) if ids[at] < 0 else (ids[at],)
-                at -= sizes[at]
-            out.reverse()
-            yield out
-            before = word
+                left = left[~fits & (self.n_ends[here[left]] > k)]
+            node, all_on = np.cumsum(own)[on] - 1, np.flatnonzero(on)
+            last[d, all_on], length[d, all_on], state[all_on] = i[node], n[node], here[node]
+        back, at, word = [], size.copy(), np.flatnonzero(size)
+        while len(word):
+            back.append((word, last[at[word], word]))
+            at[word] -= length[at[word], word]
+            word = word[at[word] > 0]
+        counts = np.zeros(len(words), np.int64)
+        for word, _ in back:
+            counts[word] += 1
+        end, flat = np.cumsum(counts), np.zeros(int(counts.sum()), np.int64)
+        for k, (word, i) in enumerate(back, 1):
+            flat[end[word] - k] = i
+        return self._spell(flat, counts)
+
+    def walk(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi of one long word, node by node."""
+        links, learn, ends, known = self.automaton.next, self.automaton.learn, self.automaton.ends, self.pairs
+        last, sizes, here = [-1], [0], 0
+        for ch in word:
+            to = links[here].get(ch)
+            here = learn(here, ch) if to is None else to
+            for length, i in ends[here]:
+                front = last[-length]
+                if front < 0:
+                    break
+                ok = known.get((front, i))
+                if ok is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    ok = known[front, i] = self.merges.agree(self._text(front), self.texts[i])
+                if ok:
+                    break
+            else:
+                length, i = 1, len(self.texts) + ord(ch)
+            last.append(i)
+            sizes.append(length)
+        out, at = [], len(word)
+        while at:
+            out.append(last[at])
+            at -= sizes[at]
+        return self._spell(np.array(out[::-1], np.int64), np.array([len(out)]))
+
+    def _spell(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as their bytes."""
+        strange = np.flatnonzero(flat >= len(self.texts))
+        if not len(strange):
+            return flat.astype(np.int32), counts
+        spelled = [[self.bytes[b] for b in self._text(i).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+                   for i in flat[strange].tolist()]
+        wide = np.ones(len(flat), np.int64)
+        wide[strange] = [len(x) for x in spelled]
+        ends = np.cumsum(wide)
+        out = np.repeat(flat, wide).astype(np.int32)
+        out[ragged(ends[strange] - wide[strange], wide[strange])] = list(chain.from_iterable(spelled))
+        return out, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
 
     def marked(self, text: str) -> list[str]:
+        """The marked words of a text, each without the mark that it begins with."""
         if not text:
             return []
-        text = MARK + text.replace(" ", MARK)
-        return _WORD.findall(text) if self.split else [text]
+        if not self.split:
+            return [text.replace(" ", MARK)]
+        if text[0] != " " != text[-1] and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for lo, hi in runs(texts, _RUN):
             yield from self._encode([self.marked(t) for t in texts[lo:hi]])
 
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start.frombytes((len(self.flat) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.size.frombytes(counts.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+        self.chars += sum(map(len, words)) + len(words)
+
     def _encode(self, words: list[list[str]]) -> Iterator[np.ndarray]:
         if self.chars > KEPT_CHARS:
             self._clear()
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        fresh = sorted(set(chain.from_iterable(words)).difference(self.known))
-        for word, ids in zip(fresh, self.viterbi(fresh), strict=True):
-            self.known[word] = len(self.start)
-            self.start.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
-            self.chars += len(word)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        own = dict.fromkeys(chain.from_iterable(words))  # small enough to be looked up fast
+        fresh = [w for w in own if w not in self.known]
+        short = sorted(w for w in fresh if len(w) < LONG)
+        for lo in range(0, len(short), _WALK):
+            self._keep(short[lo:lo + _WALK], *self.viterbi([MARK + w for w in short[lo:lo + _WALK]]))
+        for w in fresh:
+            if len(w) >= LONG:
+                self._keep([w], *self.walk(MARK + w))
+        own.update(zip(own, map(self.known.__getitem__, own)))
+        at = np.fromiter(map(own.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if not len(at):
             yield from (np.empty(0, np.int32) for _ in words)
             return

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -337,6 +338,29 @@ def test_pieces_equal_the_library_and_round_trip(spark, monkeypatch):
     assert [r[0] for r in strange.select(pieces.decode(PIECES)("ids")).collect()] == [sp.id_to_piece(278).replace("▁", ""), "", None]
 
 
+def test_pieces_of_many_words_cost_half_of_a_walk_word_by_word():
+    e, sp = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices("etaoinshrdlu日😀é", k=rng.randint(1, 12))) for _ in range(20_000)})
+    marked = [pieces.MARK + w for w in words]
+    costs = []
+    for run in (lambda: [e.walk(w)[0].tolist() for w in marked], lambda: np.split(*(lambda ids, n: (ids, np.cumsum(n)[:-1]))(*e.viterbi(marked)))):
+        run()  # learns the agreeing pairs
+        start = time.process_time()
+        got = run()
+        costs.append(time.process_time() - start)
+        assert [list(x) for x in got] == [sp.encode(w) for w in words]
+    assert costs[1] < 0.5 * costs[0]
+
+
+def test_remembered_numbers():
+    known, keys = pieces.Remembered(1000), np.random.default_rng(3).permutation(5000).astype(np.int64)
+    known.put(keys[:900], keys[:900] % 7)
+    assert known.get(keys[:1000]).tolist() == [*(keys[:900] % 7).tolist(), *[-1] * 100]
+    known.put(keys[900:1100], keys[900:1100] % 5)  # too many: the others are forgotten
+    assert known.get(keys[800:1100]).tolist() == [*[-1] * 100, *(keys[900:1100] % 5).tolist()]
+
+
 def test_pieces_of_very_long_texts():
     e, sp = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for text in ("river stone " * 300_000, "".join(random.Random(2).choices("abcde", k=1_000_000))):
