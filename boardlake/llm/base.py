@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from boardlake.session import scratch_dir
 
@@ -18,6 +18,8 @@ ORACLE: dict[str, str] = {}
 BLOOM_BITS = 27
 #: Batches of whole texts, unless the session says otherwise: by bytes between executors and Python workers, by rows in Parquet readers.
 TEXT_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+#: Rows of a small table that one task reads: fewer make one partition, which needs no shuffle.
+TASK_ROWS = 250_000
 #: Characters of text that a Python worker turns into arrays at a time.
 BATCH_CHARS = 1_000_000
 
@@ -50,6 +52,18 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, purpose: str, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut, and what it saw on the way: rows, and more aggregates by name. No job of its own counts."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in more.items())), purpose)
+    return out, seen.get
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in tasks of TASK_ROWS rows at least, for steps that make no more rows than they read."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import bloom, cut, in_bloom, pieces, query, strings, table
+from boardlake.llm.base import bloom, counted, cut, in_bloom, pieces, query, sized, strings, table
 from boardlake.llm.graph import components
 from boardlake.llm.words import split_words, splitmix
 
@@ -164,18 +164,20 @@ def _lists(rows: DataFrame, order: tuple[int, int] | None, tokens: np.ndarray |
     return rows.mapInArrow(run, "token long, class long, n long, at int")
 
 
-def _shared(rows: DataFrame, order: tuple[int, int] | None, classes: np.ndarray | None = None) -> DataFrame:
-    """(token, rows) of the tokens that prefixes of two classes or more hold."""
+def _shared(rows: DataFrame, order: tuple[int, int] | None, classes: np.ndarray | None = None) -> tuple[DataFrame, int]:
+    """(token, rows) of the tokens that prefixes of two classes or more hold, and how many there are."""
     # a token is shared if its least class is not its greatest: copies of a class need no count, and each task sums first
     every = _lists(rows, order, classes=classes).groupBy("token").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("rows"))
-    return cut(every.where("lo < hi").select("token", "rows"), "shared")
+    out, seen = counted(every.where("lo < hi").select("token", "rows"), "shared")
+    return out, seen["rows"]
 
 
-def _survivors(rows: DataFrame, shared: DataFrame, order: tuple[int, int] | None, loose: int, classes: np.ndarray | None = None) -> DataFrame:
-    """(class) of the classes whose prefixes hold enough shared tokens."""
+def _survivors(rows: DataFrame, shared: DataFrame, tokens: int, order: tuple[int, int] | None, loose: int,
+               classes: np.ndarray | None = None) -> tuple[DataFrame, int]:
+    """(class) of the classes whose prefixes hold enough of so many shared tokens, and how many there are."""
     shared = shared.select("token")
-    few = _lists(rows, order, bloom(shared, "token", shared.count()), classes)
+    few = _lists(rows, order, bloom(shared, "token", tokens), classes)
     counts = few.join(shared, "token").groupBy("class", "n").agg(F.count_distinct("token").alias("k"))
     small, large = F.ceil(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT)
 
@@ -184,12 +186,14 @@ def _survivors(rows: DataFrame, shared: DataFrame, order: tuple[int, int] | None
         take = lambda m: F.least(m, F.floor(m * loose / 100) + 1)
         return F.least(take(F.col("n")) - (F.col("n") - o), take(b) - (b - o))
 
-    return counts.where(F.col("k") >= F.greatest(F.lit(1), F.least(both(small), both(large)) - 2)).select("class")
+    enough = counts.where(F.col("k") >= F.greatest(F.lit(1), F.least(both(small), both(large)) - 2)).select("class")
+    out, seen = counted(enough, "alive")
+    return out, seen["rows"]
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, n, tokens) of wanted classes (id, class), from their texts again. A Bloom filter spares most other texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64(id_col).alias("h")), "h", wanted.count()))
+def _whole_sets(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, n, tokens) of so many wanted classes (id, class), from their texts again. A Bloom filter spares most other texts."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64(id_col).alias("h")), "h", rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +251,10 @@ def similar(x: np.ndarray, y: np.ndarray, orders: tuple[tuple[int, int], ...] =
     return 100 * both >= PERCENT * (a + b - both)
 
 
-def verify(pairs: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
-    """The pairs (u, v) of classes that are similar; pairs: a stored table."""
+def verify(pairs: DataFrame, rows: int, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
+    """The pairs (u, v) of classes that are similar; pairs: a stored table of so many rows."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("class"))
-    bits = pairs.sparkSession.sparkContext.broadcast(bloom(nodes, "class", 2 * pairs.count()))
+    bits = pairs.sparkSession.sparkContext.broadcast(bloom(nodes, "class", 2 * rows))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,22 +280,23 @@ def _frequent(shared: DataFrame, classes: int, seed: int) -> tuple[np.ndarray, n
     return tokens[by], ranks[by], seed
 
 
-def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
-    """(u, v): verified links that connect all similar classes; lists: (token, class, n, at) of one order.
+def class_components(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame | None:
+    """(node, component) of classes that verified links connect, None without such pairs; lists: (token, class, n, at) of one order.
 
     A similar pair is made from the first token that both prefixes hold. What follows it in either set, itself included, must
     make up the least intersection; so a passage that two texts share behind tokens of their own makes no pair.
     """
-    links = done = None
+    links = done = part = None
+    n_links = 0
     pivots, maps = 1, cut(bitmaps(whole), "bitmaps")
     lists = lists.withColumn("part", F.col("class"))
     while True:
         mixed = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-        lists = cut(lists.join(mixed, "token"), "lists")
-        if lists.isEmpty():
-            break
+        lists, seen = counted(lists.join(mixed, "token"), "lists")
+        if not seen["rows"]:
+            return part
         ranked = lists.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy("class")))
-        first = ranked.where(F.col("k") <= pivots).drop("k")  # kept map-side: no task sorts a whole list
+        first = cut(ranked.where(F.col("k") <= pivots).drop("k"), "first")  # kept map-side: no task sorts a whole list
         p = first.select("token", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "at", "part")))
         left = F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at"))
         fits = left * (100 + PERCENT) >= (F.col("n") + F.col("p_n")) * PERCENT
@@ -301,16 +306,18 @@ def class_links(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = cut(verify(cut(may_be_similar(pairs, maps), "likely"), whole, orders), "similar")
+        likely, seen = counted(may_be_similar(pairs, maps), "likely")
+        found, seen = counted(verify(likely, seen["rows"], whole, orders), "similar")
+        n_links += seen["rows"]
         links = found if links is None else links.unionByName(found)
         pairs = pairs.select("u", "v")
         done = pairs if done is None else done.unionByName(pairs)
         rest = lists.join(first.select("token", "class"), ["token", "class"], "left_anti").drop("part")
-        part = components(links)
+        part, seen = counted(components(links, n_links), "components")
+        part = sized(part, seen["rows"])
         lists = rest.join(part, rest["class"] == part["node"], "left").select(
             "token", "class", "n", "at", F.coalesce("component", "class").alias("part"))
         pivots *= PIVOTS
-    return links if links is not None else lists.select(F.col("class").alias("u"), F.col("class").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -319,20 +326,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = cut(sets(docs, id_col, text_col, orders[0]), "sets")
     known = each.where(F.col(id_col).isNotNull() & (F.col("n") > 0))
     listed = known.select("class", "n", "prefix")
-    alive = cut(_survivors(listed, _shared(listed, None), None, orders[0][1]), "alive")
+    alive, _ = _survivors(listed, *_shared(listed, None), None, orders[0][1])
     owners = known.select("class", id_col).join(alive, "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col))
-    whole = cut(_whole_sets(docs, cut(owners, "owners"), id_col, text_col), "whole-sets")
+    owners, seen = counted(owners, "owners")
+    whole, seen = counted(_whole_sets(docs, owners, seen["rows"], id_col, text_col), "whole-sets")
     read, bits = whole.select("class", "n", "tokens"), None
     for order in orders[1:]:
-        shared = _shared(read, order, bits)
-        alive = cut(_survivors(read, shared, order, order[1], bits), "alive")
-        bits = bloom(alive, "class", alive.count())
+        shared, rows = _shared(read, order, bits)
+        alive, rows = _survivors(read, shared, rows, order, order[1], bits)
+        bits = bloom(alive, "class", rows)
     shortest = (orders[0][0], 100 - PERCENT)
-    links = class_links(_lists(read, shortest, classes=bits, frequent=_frequent(shared, whole.count(), orders[-1][0])), whole, orders)
+    frequent = _frequent(shared, seen["rows"], orders[-1][0])
+    part = class_components(_lists(read, shortest, classes=bits, frequent=frequent), whole, orders)
     least = known.groupBy("class").agg(F.min(id_col).alias("_least"))
-    part = components(links)
-    least = least.join(part, least["class"] == part["node"], "left").select(
-        F.col("class").alias("_class"), "_least", F.coalesce("component", "class").alias("_part"))
+    least = least.withColumn("component", F.lit(None).cast("long")) if part is None else least.join(
+        part, least["class"] == part["node"], "left")
+    least = least.select(F.col("class").alias("_class"), "_least", F.coalesce("component", "class").alias("_part"))
     least = cut(least, "classes")
     lowest = least.groupBy("_part").agg(F.min("_least").alias("component_id"))
     named = least.join(lowest, "_part").select("_class", "component_id")

@@ -4,8 +4,8 @@ import collections
 import hashlib
 import math
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import BASE, TEXTS, changed, documents, empty, prose
 from tokenizers import Tokenizer
 
-from boardlake.llm import edits, jaccard, packing, pieces, pii, quality, token_files, tokens, toxicity
+from boardlake.llm import base, edits, graph, jaccard, packing, pieces, pii, quality, token_files, tokens, toxicity
 from boardlake.llm.base import QUERIES
 from boardlake.session import scratch_dir
 
@@ -314,6 +314,18 @@ def test_near_duplicates_of_groups_chains_and_passages(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == brute_components(enumerate(texts))
 
 
+def test_components_of_few_links_shuffle_nothing(spark):
+    links = [(k + 1, k) for k in range(0, 40)] + [(90, 80), (80, 90), (70, 70), (101, 100), (102, 100)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    want = [(k, 0) for k in range(41)] + [(70, 70), (80, 80), (90, 80), (100, 100), (101, 100), (102, 100)]
+    got = graph.components(edges, len(links))
+    assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, graph.components(edges).collect()))
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
+    assert graph.components(edges.limit(0), 0).count() == 0
+    table, seen = base.counted(edges.limit(0), "test", most=F.max("u"))
+    assert (table.count(), seen["rows"], seen["most"]) == (0, 0, None)
+
+
 def test_op2_whole_table(spark):
     assert collections.Counter(map(tuple, QUERIES["op2_ngram_jaccard_join"](spark, SF).collect())) == brute_components(whole(spark))
 
