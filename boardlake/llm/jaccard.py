@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import bloom, counted, cut, in_bloom, pieces, query, sized, strings, table
+from boardlake.llm.base import bloom, counted, cut, in_bloom, let_go, pieces, query, sized, strings, table
 from boardlake.llm.graph import components
 from boardlake.llm.words import split_words, splitmix
 
@@ -116,6 +116,7 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array([_class_of(x) if len(x) else 0 for x in found], pa.int64()), lists],
                     names=[id_col, "n", "class", "prefix"])
+        let_go()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, class long, prefix array<bigint>")
@@ -164,16 +165,16 @@ def _lists(rows: DataFrame, order: tuple[int, int] | None, tokens: np.ndarray |
     return rows.mapInArrow(run, "token long, class long, n long, at int")
 
 
-def _shared(rows: DataFrame, order: tuple[int, int] | None, classes: np.ndarray | None = None) -> tuple[DataFrame, int]:
-    """(token, rows) of the tokens that prefixes of two classes or more hold, and how many there are."""
+def _shared(rows: DataFrame, order: tuple[int, int] | None, listed: int, classes: np.ndarray | None = None) -> tuple[DataFrame, int]:
+    """(token, rows) of the tokens that prefixes of two classes or more hold, and how many there are; prefixes hold so many listed at most."""
     # a token is shared if its least class is not its greatest: copies of a class need no count, and each task sums first
     every = _lists(rows, order, classes=classes).groupBy("token").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("rows"))
-    out, seen = counted(every.where("lo < hi").select("token", "rows"), "shared")
+    out, seen = counted(sized(every.where("lo < hi").select("token", "rows"), listed), "shared")
     return out, seen["rows"]
 
 
-def _survivors(rows: DataFrame, shared: DataFrame, tokens: int, order: tuple[int, int] | None, loose: int,
+def _survivors(rows: DataFrame, shared: DataFrame, tokens: int, order: tuple[int, int] | None, loose: int, listed: int,
                classes: np.ndarray | None = None) -> tuple[DataFrame, int]:
     """(class) of the classes whose prefixes hold enough of so many shared tokens, and how many there are."""
     shared = shared.select("token")
@@ -187,7 +188,7 @@ def _survivors(rows: DataFrame, shared: DataFrame, tokens: int, order: tuple[int
         return F.least(take(F.col("n")) - (F.col("n") - o), take(b) - (b - o))
 
     enough = counts.where(F.col("k") >= F.greatest(F.lit(1), F.least(both(small), both(large)) - 2)).select("class")
-    out, seen = counted(enough, "alive")
+    out, seen = counted(sized(enough, listed), "alive")
     return out, seen["rows"]
 
 
@@ -205,6 +206,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(lo, hi - lo), pa.array([_class_of(x) if len(x) else 0 for x in found], pa.int64()),
                      pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=[id_col, "class", "tokens"])
+        let_go()
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("_h"), id_col, text_col)
@@ -280,23 +282,27 @@ def _frequent(shared: DataFrame, classes: int, seed: int) -> tuple[np.ndarray, n
     return tokens[by], ranks[by], seed
 
 
-def class_components(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame | None:
+def class_components(lists: DataFrame, listed: int, whole: DataFrame, classes: int,
+                     orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame | None:
     """(node, component) of classes that verified links connect, None without such pairs; lists: (token, class, n, at) of one order.
 
+    listed, classes: rows of lists, at most, and of whole. Tables between the steps have no more files than their rows ask for.
+
     A similar pair is made from the first token that both prefixes hold. What follows it in either set, itself included, must
     make up the least intersection; so a passage that two texts share behind tokens of their own makes no pair.
     """
     links = done = part = None
-    n_links = 0
+    n_links = n_done = 0
     pivots, maps = 1, cut(bitmaps(whole), "bitmaps")
     lists = lists.withColumn("part", F.col("class"))
     while True:
         mixed = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-        lists, seen = counted(lists.join(mixed, "token"), "lists")
-        if not seen["rows"]:
+        lists, seen = counted(sized(lists.join(mixed, "token"), 2 * listed), "lists")
+        listed = seen["rows"]
+        if not listed:
             return part
         ranked = lists.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy("class")))
-        first = cut(ranked.where(F.col("k") <= pivots).drop("k"), "first")  # kept map-side: no task sorts a whole list
+        first = cut(sized(ranked.where(F.col("k") <= pivots).drop("k"), listed), "first")  # kept map-side: no task sorts a whole list
         p = first.select("token", *(F.col(c).alias(f"p_{c}") for c in ("class", "n", "at", "part")))
         left = F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at"))
         fits = left * (100 + PERCENT) >= (F.col("n") + F.col("p_n")) * PERCENT
@@ -305,8 +311,9 @@ def class_components(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int
                              (F.col("n") + F.col("p_n")).alias("total")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        likely, seen = counted(may_be_similar(pairs, maps), "likely")
+        pairs, seen = counted(sized(pairs, pivots * listed + n_done), "pairs")
+        n_done += seen["rows"]
+        likely, seen = counted(sized(may_be_similar(pairs, maps), BITMAP // 8 * (seen["rows"] + classes)), "likely")
         found, seen = counted(verify(likely, seen["rows"], whole, orders), "similar")
         n_links += seen["rows"]
         links = found if links is None else links.unionByName(found)
@@ -323,26 +330,29 @@ def class_components(lists: DataFrame, whole: DataFrame, orders: tuple[tuple[int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     orders: tuple[tuple[int, int], ...] = ORDERS) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id that links reach)."""
-    each = cut(sets(docs, id_col, text_col, orders[0]), "sets")
+    each, seen = counted(sets(docs, id_col, text_col, orders[0]), "sets", listed=F.sum(F.size("prefix")), tokens=F.sum("n"))
+    rows, listed, tokens = (int(seen[k] or 0) for k in ("rows", "listed", "tokens"))
     known = each.where(F.col(id_col).isNotNull() & (F.col("n") > 0))
-    listed = known.select("class", "n", "prefix")
-    alive, _ = _survivors(listed, *_shared(listed, None), None, orders[0][1])
+    prefixes = known.select("class", "n", "prefix")
+    alive, _ = _survivors(prefixes, *_shared(prefixes, None, listed), None, orders[0][1], listed)
     owners = known.select("class", id_col).join(alive, "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col))
-    owners, seen = counted(owners, "owners")
-    whole, seen = counted(_whole_sets(docs, owners, seen["rows"], id_col, text_col), "whole-sets")
+    owners, seen = counted(sized(owners, 2 * rows), "owners")
+    whole = sized(_whole_sets(docs, owners, seen["rows"], id_col, text_col), tokens // 4)  # numbers in lists take less than rows
+    whole, seen = counted(whole, "whole-sets", tokens=F.sum("n"))
+    classes, tokens = seen["rows"], int(seen["tokens"] or 0)
     read, bits = whole.select("class", "n", "tokens"), None
     for order in orders[1:]:
-        shared, rows = _shared(read, order, bits)
-        alive, rows = _survivors(read, shared, rows, order, order[1], bits)
-        bits = bloom(alive, "class", rows)
+        shared, found = _shared(read, order, tokens, bits)
+        alive, found = _survivors(read, shared, found, order, order[1], tokens, bits)
+        bits = bloom(alive, "class", found)
     shortest = (orders[0][0], 100 - PERCENT)
-    frequent = _frequent(shared, seen["rows"], orders[-1][0])
-    part = class_components(_lists(read, shortest, classes=bits, frequent=frequent), whole, orders)
+    frequent = _frequent(shared, classes, orders[-1][0])
+    part = class_components(_lists(read, shortest, classes=bits, frequent=frequent), tokens, whole, classes, orders)
     least = known.groupBy("class").agg(F.min(id_col).alias("_least"))
     least = least.withColumn("component", F.lit(None).cast("long")) if part is None else least.join(
         part, least["class"] == part["node"], "left")
     least = least.select(F.col("class").alias("_class"), "_least", F.coalesce("component", "class").alias("_part"))
-    least = cut(least, "classes")
+    least = cut(sized(least, 2 * rows), "classes")
     lowest = least.groupBy("_part").agg(F.min("_least").alias("component_id"))
     named = least.join(lowest, "_part").select("_class", "component_id")
     out = each.select(id_col, F.col("n").alias("n_shingles"), "class")

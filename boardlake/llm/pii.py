@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from boardlake.llm.base import bloom, cut, in_bloom, pieces, query, strings, table
+from boardlake.llm.base import bloom, counted, cut, in_bloom, let_go, pieces, query, sized, strings, table
 from boardlake.llm.words import Words, lowered, split_words, splitmix
 
 KINDS = ("email", "ip", "card", "phone")
@@ -174,12 +174,12 @@ def term_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> D
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, disclosed): terms over the threshold, with the largest part of an entity's information that they reveal."""
     total = docs.count()
-    near = cut(nearby(docs, text_col).groupBy("entity", "kind", "term", "context").agg(F.count("*").alias("n")), "near")
+    near, seen = counted(nearby(docs, text_col).groupBy("entity", "kind", "term", "context").agg(F.count("*").alias("n")), "near")
     # contexts of an entity are the same for all its terms: one count per document comes from its distinct (entity, context)
     owners = near.groupBy("entity", "context").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
     pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(
         F.sum("n").alias("n_near"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    pairs = cut(pairs, "candidates")
+    pairs = cut(sized(pairs, seen["rows"]), "candidates")
     counts = term_counts(docs, pairs.select("term"), text_col)
     said = pairs.join(counts, "term").join(owners, "entity")
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
@@ -242,6 +242,7 @@ def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", broadca
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep_as), pa.array(spans, base_type), pa.array(named, term_type), *made],
                 names=[*keep_as, "_base", "_terms", *["_clean"] * cleaned])
+        let_go()
 
     chosen = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     keep_as = [f"_k{i}" for i in range(len(keep))]

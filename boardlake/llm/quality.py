@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import cut, pieces, query, strings, table
+from boardlake.llm.base import cut, let_go, pieces, query, strings, table
 from boardlake.llm.words import Words, per_text, split_words
 
 ORDER, SYMBOLS, BITS = 4, 64, 6
@@ -297,6 +297,7 @@ def features(docs: DataFrame, model: Model | DataFrame, keep: list[str], text_co
                            np.log2(size).astype(np.int32), *found]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), *map(pa.array, columns)], names=names)
+        let_go()
 
     chosen = docs.select(*(F.col(c).alias(n) for n, c in zip(own, keep, strict=True)), F.col(text_col).alias("_text"))
     rows = chosen.mapInArrow(measure, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from boardlake.llm.base import no_threads, ragged
+from boardlake.llm.base import let_go, no_threads, ragged
 
 #: Texts, and bytes of them, in a run at most.
 _RUN, _RUN_BYTES = 20_000, 2_000_000
@@ -85,7 +85,7 @@ class TextEncoder:
     def forget(self) -> None:
         """Lets go of all pieces: a worker that goes on with other work should not hold them."""
         self._clear()
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     def _clear(self) -> None:
         self.slots, self.flat = _Slots(), _Growing(np.uint32)

@@ -5,8 +5,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +103,22 @@ def test_token_files_of_nothing(spark):
     assert token_files.read_files(spark, folder, token_files.token_files(empty(spark), BPE, folder)).count() == 0
 
 
+def test_workers_give_memory_back():
+    said = subprocess.run([sys.executable, "-c", f"""
+import numpy as np, psutil
+from boardlake.llm.tokens import TextEncoder
+size = lambda: psutil.Process().memory_full_info().uss >> 20
+e = TextEncoder({BPE!r})
+e.forget()
+before = size()
+held = [np.ones(8000) for _ in range(2000)]
+held = held[-1:]  # above all others
+e.forget()
+print(size() - before)
+"""], capture_output=True, text=True, timeout=100, check=True, cwd=Path(__file__).parents[2])
+    assert int(said.stdout) < 40  # of 122
+
+
 def test_op5_equals_library(spark):
     start, want = 0, {}
     for d, t in sorted(whole(spark)):
@@ -307,6 +326,23 @@ def test_near_duplicates(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_write_few_files_of_few_rows(spark):
+    shared = Path(scratch_dir(spark, "x").removeprefix("file:")).parent
+    texts = [prose(80, k) for k in range(30)] + [changed(prose(80, k), k) for k in range(20)] + [changed(prose(80, k), 50 + k) for k in range(10)]
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, before = {k: spark.conf.get(k) for k in names}, set(shared.iterdir())
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(documents(spark, texts)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {k: k if k < 30 else k - 30 if k < 50 else k - 50 for k in range(60)}
+    files = {p.name.rpartition("-")[0]: len(list(p.glob("rows/part-*"))) for p in set(shared.iterdir()) - before}
+    assert {k for k, n in files.items() if n == 1} >= {"shared", "alive", "owners", "whole-sets", "lists", "first", "pairs", "likely", "classes"}
+
+
 def test_near_duplicates_of_groups_chains_and_passages(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     texts = near_copies()
