@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from boardlake.llm.base import cut, query, table
+from boardlake.llm.base import cut, query, small_batches, table
 from boardlake.llm.tokens import END_ID, encoder
 from boardlake.session import scratch_dir
 
@@ -133,13 +133,22 @@ def read_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, ids, counted): token ids with the end id, as little-endian unsigned numbers of 16 bits, or 32 for larger vocabularies.
 
-    counted: with some rows, how often each id occurs in the rows of their batch.
+    counted: with one row of a task, how often each id occurs in all its rows.
     """
+    def rows(doc: pa.Array, n: list[int], ids: list[bytes], counted: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [doc.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+             pa.array([*counted, *[None] * (len(n) - len(counted))], _COUNTED)], names=["doc_id", "n", "ids", "counted"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         kind = "<u2" if len(e.bytes_of) <= 1 << 16 else "<u4"
+        times, last = np.zeros(len(e.bytes_of), np.int64), None
         for batch in batches:
-            times = np.zeros(len(e.bytes_of), np.int64)
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                yield rows(*last, [])
             ids, n, held, size = [], [], [], 0
             for x in e.encode(batch.column(1)):
                 ids.append(np.append(x, END_ID).astype(kind).tobytes())
@@ -152,11 +161,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             if held:
                 times += np.bincount(np.concatenate(held), minlength=len(times))
             times[END_ID] += len(ids)
+            last = batch.column(0), n, ids
+        e.forget()
+        if last is not None:
             at = np.flatnonzero(times)
-            counted = [list(zip(at.tolist(), times[at].tolist(), strict=True)), *[None] * (len(ids) - 1)] if ids else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counted, _COUNTED)],
-                names=["doc_id", "n", "ids", "counted"])
+            yield rows(*last, [list(zip(at.tolist(), times[at].tolist(), strict=True))])
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, ids binary, counted array<struct<id:bigint,n:bigint>>")
 
@@ -268,6 +277,7 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
 
 def token_files(docs: DataFrame, path: str, folder: str) -> DataFrame:
     """Write the token files of docs; the manifest of the files."""
+    small_batches(docs.sparkSession)
     return write_files(cut(encoded(docs, path), "tokens"), folder)
 
 

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -103,6 +104,40 @@ def test_token_files_of_nothing(spark):
     assert token_files.read_files(spark, folder, token_files.token_files(empty(spark), BPE, folder)).count() == 0
 
 
+def test_token_files_read_bounded_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    for k in base.TEXT_BATCHES:
+        spark.conf.unset(k)
+    try:
+        token_files.token_files(documents(spark), BPE, scratch_dir(spark, "files"))
+        texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+        got = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < 6_000_000
+    finally:
+        for k in base.TEXT_BATCHES:
+            spark.conf.unset(k)
+
+
+def test_token_ids_are_counted_once_a_task_and_pieces_let_go(spark):
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens.encoder(BPE).slots)])], names=["n"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = token_files.encoded(documents(spark).coalesce(1), BPE).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = [r.counted for r in rows if r.counted is not None]
+    want = collections.Counter(i for _, t in ROWS for i in library_ids(t))
+    assert len(rows) == len(ROWS) and len(counts) == 1
+    assert {c.id: c.n for c in counts[0]} == want
+    assert {r.n for r in spark.range(0, 64, 1, 32).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_workers_give_memory_back():
     said = subprocess.run([sys.executable, "-c", f"""
 import numpy as np, psutil
